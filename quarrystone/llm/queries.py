@@ -66,7 +66,7 @@ QUERIES: dict[str, Query] = {
 }
 
 _GRAMS = """
-SELECT {id} AS id, unnest(list_transform(range(1, greatest(len(w) - 8, 1)), i -> array_to_string(w[i:i + 9], ' '))) AS gram
+SELECT {id} AS id, unnest([array_to_string(w[i:i + 9], ' ') for i in range(1, greatest(len(w) - 8, 1))]) AS gram
 FROM (SELECT {id}, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {table}) WHERE len(w) >= 10"""
 
 SQL: dict[str, str] = {
