@@ -43,3 +43,17 @@ def running_max(
         local = agg(f"_v{i}").over(frame)
         out = out.withColumn(name, pick(F.col(f"_c{i}"), local))
     return out.select(*df.columns, *values)
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, block: Column) -> DataFrame:
+    """Add the sum of ``value`` over the rows of the same key up to and including this one.
+
+    Works by blocks like ``running_max``; nulls count as zero; the order must be total.
+    """
+    blocked = df.withColumn("_block", block).withColumn("_v", F.coalesce(value, F.lit(0)))
+    heads = blocked.groupBy(*keys, "_block").agg(F.sum("_v").alias("_s"))
+    over = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(*keys, "_block", F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_c"))
+    within = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = blocked.join(heads, [*keys, "_block"], "left")
+    return out.select(*df.columns, (F.col("_c") + F.sum("_v").over(within)).alias(name))

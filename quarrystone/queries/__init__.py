@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrystone.queries import general
+from quarrystone.queries import analytics, general, profiling
 
-MODULES = [general]
+MODULES = [general, profiling, analytics]
 
 
 def all_queries() -> dict:
