@@ -229,13 +229,13 @@ def _without(texts, spans):  # noqa: ANN001, ANN202
 def without_leaks(documents: DataFrame, items: DataFrame, whole_documents: bool = False) -> DataFrame:
     """The corpus without leaked passages, or without the documents that hold any.
 
-    Adds ``removed_bytes`` (0 where nothing was found). All columns and rows with null texts stay.
+    Adds ``removed_bytes`` (0 where nothing was found), in place of a column of that name. All columns and rows with null texts stay.
     """
-    spans = _scan(documents, items, _spans, _SPANS).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    spans = _scan(documents, items, _spans, _SPANS).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("__spans"))
     if whole_documents:
         return documents.join(spans.select("doc_id"), "doc_id", "left_anti")
-    joined = documents.join(spans, "doc_id", "left")
-    clean = F.when(F.col("spans").isNotNull(), _without("text", "spans")).otherwise(F.col("text"))
+    joined = documents.drop("removed_bytes").join(spans, "doc_id", "left")
+    joined = joined.withColumn("__clean", F.when(F.col("__spans").isNotNull(), _without("text", "__spans")).otherwise(F.col("text")))
     size = lambda c: F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint")
-    out = joined.withColumn("_clean", clean)
-    return out.select(*[F.col("_clean").alias("text") if c == "text" else F.col(c) for c in documents.columns], (size("text") - size("_clean")).alias("removed_bytes"))
+    kept = [F.col("__clean").alias("text") if c == "text" else F.col(c) for c in documents.columns if c != "removed_bytes"]
+    return joined.select(*kept, (size("text") - size("__clean")).alias("removed_bytes"))

@@ -69,7 +69,23 @@ _GRAMS = """
 SELECT {id} AS id, unnest([array_to_string(w[i:i + 9], ' ') for i in range(1, greatest(len(w) - 8, 1))]) AS gram
 FROM (SELECT {id}, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM {table}) WHERE len(w) >= 10"""
 
+_SPLIT = r"""
+  CASE WHEN k IN ('train', 'training', 'trn', 'tr', 'trainset', 'trainsplit') THEN 'train' WHEN k IS NULL OR k = '' THEN NULL
+       WHEN regexp_full_match(k, '(val|valid|validation|validate|dev|devel|development|eval|evaluation|test|testing|tst|te|holdout|heldout)(set)?') THEN 'eval' END"""
+_FOLDER = r"regexp_extract('/' || lower(replace(path, '\\', '/')), '/(train|training|trn|tr|val|valid|validation|validate|dev|devel|development|eval|evaluation|test|testing|tst|te|hold[-_ .]?out|held[-_ .]?out)/', 1)"
+_P2 = f"""
+WITH r AS (
+  SELECT candidate_key AS key, split_name, path, content_hash, CASE WHEN regexp_full_match(lower(trim(phash)), '[0-9a-f]{{{{32}}}}') THEN lower(trim(phash)) END AS p FROM image_candidates
+  UNION ALL SELECT sample_key, split_name, path, content_hash, NULL FROM sample_refs),
+n AS (SELECT key, p, nullif(regexp_extract(lower(trim(content_hash)), '^(?:sha-?256:)?([0-9a-f]{{{{64}}}})$', 1), '') AS h,
+  regexp_replace(lower(CASE WHEN split_name IS NULL OR trim(split_name) = '' THEN {_FOLDER} ELSE split_name END), '[-_. ]+', '', 'g') AS k FROM r),
+s AS (SELECT DISTINCT key, h, CAST('0x' || substr(p, 1, 16) AS UBIGINT) AS hi, CAST('0x' || substr(p, 17, 16) AS UBIGINT) AS lo, {_SPLIT} AS side FROM n)
+SELECT DISTINCT least(t.key, e.key) AS key_a, greatest(t.key, e.key) AS key_b
+FROM (SELECT * FROM s WHERE side = 'train') t JOIN (SELECT * FROM s WHERE side = 'eval') e
+  ON t.key <> e.key AND (t.h = e.h OR bit_count(xor(t.hi, e.hi)) + bit_count(xor(t.lo, e.lo)) <= 10)""".replace("{{", "{").replace("}}", "}")
+
 SQL: dict[str, str] = {
+    "p2_found": _P2,
     "p6_found": f"""
 WITH item_grams AS (SELECT DISTINCT * FROM ({_GRAMS.format(id="item_id", table="eval_items")})),
      doc_grams AS ({_GRAMS.format(id="doc_id", table="documents")})
