@@ -53,7 +53,63 @@ FROM job_event_deliveries"""
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_columns, p1_projections, p1_report, p3_found, p3_tables, p5_found, p5_messages)}
 
+_STRIP = "lower(trim(name, ' ' || chr(9) || chr(10) || chr(13) || chr(65279)))"
+_TYPES = "nullif(array_to_string(list_sort(list_distinct([lower(trim(x)) for x in coalesce(observed_types, []) if x IS NOT NULL AND trim(x) NOT IN ('', 'unknown')])), '|'), '')"
+_P1 = f"""
+WITH RECURSIVE raw AS (
+  SELECT series, file_seq, file_id, name, t, CASE WHEN t IS NOT NULL THEN nullable END AS nu, col_pos AS pos,
+         row_number() OVER (PARTITION BY series, file_seq, file_id, name ORDER BY inspected_at DESC, fact_id DESC) AS rn
+  FROM (SELECT *, {_TYPES} AS t FROM (SELECT * REPLACE ({_STRIP} AS name) FROM column_facts)) WHERE name <> ''),
+files AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY file_seq, file_id) AS idx FROM (SELECT DISTINCT series, file_seq, file_id FROM raw)),
+cols AS (SELECT r.series, idx, r.file_id, name, t, nu, pos, idx - row_number() OVER (PARTITION BY r.series, name ORDER BY idx) AS run FROM raw r JOIN files f USING (series, file_seq, file_id) WHERE rn = 1),
+state AS (SELECT *, last_value(t IGNORE NULLS) OVER w AS lt, last_value(nu IGNORE NULLS) OVER w AS ln FROM cols WINDOW w AS (PARTITION BY series, name, run ORDER BY idx)),
+old AS (SELECT s.series, s.idx + 1 AS idx, f.file_id, name, pos, lt, ln, run FROM state s JOIN files f ON f.series = s.series AND f.idx = s.idx + 1),
+new AS (SELECT * FROM state WHERE idx > 1),
+gone AS (SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.series = o.series AND n.idx = o.idx AND n.name = o.name)),
+came AS (SELECT * FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.series = n.series AND o.idx = n.idx AND o.name = n.name)),
+renames AS (SELECT g.series, g.idx, g.file_id, g.name AS old_name, c.name AS new_name, g.lt, g.ln, g.run AS old_run, c.run, c.t, c.nu FROM gone g JOIN came c ON g.series = c.series AND g.idx = c.idx AND g.pos = c.pos AND g.lt = c.t),
+inherited AS (
+  SELECT series, new_name AS name, run, ln AS v FROM renames WHERE ln IS NOT NULL
+  UNION ALL SELECT r.series, r.new_name, r.run, i.v FROM renames r JOIN inherited i ON i.series = r.series AND i.name = r.old_name AND i.run = r.old_run WHERE r.ln IS NULL),
+kept AS (
+  SELECT o.file_id, o.series, o.name AS old_name, n.name AS new_name, o.lt, n.t, o.ln, n.nu, o.run FROM old o JOIN new n ON o.series = n.series AND o.idx = n.idx AND o.name = n.name
+  UNION ALL SELECT file_id, series, old_name, new_name, lt, t, ln, nu, old_run FROM renames),
+judged AS (SELECT k.*, coalesce(k.ln, i.v) AS before FROM kept k LEFT JOIN inherited i ON i.series = k.series AND i.name = k.old_name AND i.run = k.run)
+SELECT file_id, 'renamed' AS change_kind, old_name, new_name FROM renames
+UNION ALL SELECT file_id, 'removed', name, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM renames r WHERE r.series = g.series AND r.idx = g.idx AND r.old_name = g.name)
+UNION ALL SELECT file_id, 'added', '', name FROM came c WHERE NOT EXISTS (SELECT 1 FROM renames r WHERE r.series = c.series AND r.idx = c.idx AND r.new_name = c.name)
+UNION ALL SELECT file_id, 'type_changed', old_name, new_name FROM judged WHERE lt <> t
+UNION ALL SELECT file_id, 'nullable_changed', old_name, new_name FROM judged WHERE before <> nu"""
+
+
+def _plain(x: str) -> str:
+    return f"(CASE json_type({x}) WHEN 'VARCHAR' THEN CASE WHEN json_valid({x} ->> '$') THEN CAST({x} ->> '$' AS JSON) END ELSE {x} END)"
+
+
+def _items(x: str) -> str:
+    return f"(CASE json_type({x}) WHEN 'ARRAY' THEN CAST({x} AS JSON[]) WHEN 'OBJECT' THEN [{x}] ELSE CAST([] AS JSON[]) END)"
+
+
+_P3 = f"""
+WITH body AS (SELECT DISTINCT profile_id, CAST(body AS JSON) AS j FROM profile_bodies WHERE json_valid(body)),
+root AS (SELECT profile_id, {_plain("coalesce(j -> '$.payload', j) -> '$.snapshots'")} AS x FROM body),
+snaps AS (SELECT profile_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS sp FROM (SELECT profile_id, {_items("x")} AS l FROM root)),
+sk AS (SELECT profile_id, sp, {_plain("s -> '$.sketch'")} AS k, {_plain("s -> '$.sampling'")} AS g FROM snaps),
+sk2 AS (SELECT profile_id, sp, {_plain("coalesce(k -> '$.skippedPaths', k -> '$.skipped_paths')")} AS p, g FROM sk),
+skipped AS (SELECT profile_id, sp, unnest(l) AS c, generate_subscripts(l, 1) - 1 AS cp FROM (SELECT profile_id, sp, {_items("p")} AS l FROM sk2)),
+runs AS (SELECT profile_id, sp, unnest(l) AS r, generate_subscripts(l, 1) - 1 AS gp FROM (SELECT profile_id, sp, {_items("g")} AS l FROM sk2)),
+runs2 AS (SELECT profile_id, sp, gp, {_plain("coalesce(r -> '$.samplingSummary', r -> '$.sampling_summary')")} AS m, {_plain("coalesce(r -> '$.sampleRefs', r -> '$.sample_refs')")} AS f FROM runs),
+runs3 AS (SELECT profile_id, sp, gp, f, {_plain("coalesce(m -> '$.coverageLosses', m -> '$.coverage_losses')")} AS o FROM runs2),
+losses AS (SELECT profile_id, sp, gp, unnest(l) AS c, generate_subscripts(l, 1) - 1 AS cp FROM (SELECT profile_id, sp, gp, {_items("o")} AS l FROM runs3)),
+refs AS (SELECT profile_id, sp, gp, unnest(l) AS c, generate_subscripts(l, 1) - 1 AS cp FROM (SELECT profile_id, sp, gp, {_items("f")} AS l FROM runs3))
+SELECT DISTINCT * FROM (
+  SELECT profile_id, 'skipped_path' AS child_kind, sp AS snapshot_pos, -1 AS sampling_pos, cp AS child_pos, CASE json_type(c) WHEN 'VARCHAR' THEN c ->> '$' ELSE c ->> '$.path' END AS child_value FROM skipped
+  UNION ALL SELECT profile_id, 'coverage_loss', sp, gp, cp, CASE json_type(c) WHEN 'VARCHAR' THEN c ->> '$' ELSE nullif(concat_ws(':', nullif(c ->> '$.path', ''), c ->> '$.code'), '') END FROM losses
+  UNION ALL SELECT profile_id, 'video_path', sp, gp, cp, nullif(coalesce(c ->> '$.videoPath', c ->> '$.video_path'), '') FROM refs) WHERE child_value IS NOT NULL"""
+
 SQL: dict[str, str] = {
+    "p1_found": _P1,
+    "p3_found": _P3,
     "p5_found": f"SELECT delivery_id FROM ({_FIRST}) WHERE copy > 1",
     "p5_messages": f"SELECT delivery_id, batch_id, event_id, event_type, received_at FROM ({_FIRST}) WHERE copy = 1",
 }

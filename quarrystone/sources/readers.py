@@ -39,12 +39,12 @@ def unique_headers(values: list[str]) -> list[str]:
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
     """A delimited file as text columns: no inference, header required, short rows end in nulls.
 
-    The delimiter is detected from the first line unless given. Surplus cells are dropped.
+    The delimiter is a tab for .tsv, else detected from the first line unless given. Surplus cells are dropped.
     """
     first = spark.read.text(path).limit(1).collect()
     if not first:
         return spark.createDataFrame([], "value string")
-    sep = delimiter or detect_delimiter(first[0].value)
+    sep = delimiter or ("\t" if path.lower().endswith(".tsv") else detect_delimiter(first[0].value))
     df = spark.read.csv(path, sep=sep, header=False, inferSchema=False, mode="PERMISSIVE", multiLine=True, escape='"', nullValue="\u0000", emptyValue="")
     head = [x or "" for x in df.first()]
     head[0] = head[0].lstrip("﻿")

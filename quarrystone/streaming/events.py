@@ -17,10 +17,12 @@ def once(stream: DataFrame, when: str = "received_at", lateness: str = "7 days")
     Copies that come later than ``lateness`` behind the newest delivery cannot be told any more;
     state is dropped with the watermark. Deliveries with an incomplete identifier pass.
     """
-    keyed = message_table_key(stream).withWatermark(when, lateness)
-    keyed = keyed.withColumn("_own", F.when(F.col("quotient").isNull(), F.col("delivery_id")))
-    out = keyed.dropDuplicatesWithinWatermark(["quotient", "rem_high", "rem_low", "rem_text", "_own"])
-    return out.drop("quotient", "rem_high", "rem_low", "rem_text", "_own")
+    whole = stream.select(F.struct(*stream.columns).alias("__row"), "job_id", "event_id", "delivery_id", when)
+    ident = message_table_key(whole)
+    own = F.when(F.col("quotient").isNull(), F.col("delivery_id"))
+    message = F.struct("quotient", "rem_high", "rem_low", "rem_text", own.alias("own"))
+    keyed = ident.select("__row", when, message.alias("__message")).withWatermark(when, lateness)
+    return keyed.dropDuplicatesWithinWatermark(["__message"]).select("__row.*")
 
 
 def replay(events: DataFrame, after: int, ordinal: str = "event_id") -> DataFrame:
