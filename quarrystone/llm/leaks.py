@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORDS = 10
-MOST_ITEM_BYTES = 32 << 20  # of test text in one broadcast block
+MOST_ITEM_BYTES = 2 << 20  # of test text in one broadcast block; about 100 MB with its n-grams
 SLICE_BYTES = 2 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15)

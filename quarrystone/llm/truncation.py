@@ -19,6 +19,7 @@ from quarrystone.session import cut
 
 MEASURES = ["chars", "bytes", "utf16", "entity", "json", "crlf", "lf"]
 LEAST_AT_LIMIT = 5
+LEAST_OPEN = 0.5
 LIMIT_RATIO = 8.0
 NEIGHBOURS = 25
 
@@ -86,7 +87,11 @@ def _file_open(section: str) -> bool:
 
 
 def diff_state(text: str) -> str | None:
-    """``open`` or ``whole`` for a text with a diff, else None."""
+    """``open``, ``whole`` or ``done`` for a text with a diff, else None.
+
+    All lines that a ``whole`` diff announces are there, but its last line might be cut; a ``done``
+    one ends its last line too.
+    """
     i = 0 if text.startswith(_OPEN_DIFF) else text.find("\n" + _OPEN_DIFF) + 1
     if i == 0 and not text.startswith(_OPEN_DIFF):
         return None
@@ -104,7 +109,7 @@ def diff_state(text: str) -> str | None:
         minus = body.count("\n-") - body.count("\n--- a/") - body.count("\n--- /dev/null")
         if plus < int(stat.group(2) or 0) or minus < int(stat.group(3) or 0):
             return "open"
-    return "whole"
+    return "done" if foot or body.endswith("\n") else "whole"
 
 
 def _trailer_done(line: str) -> bool | None:
@@ -213,16 +218,17 @@ def hidden_limits(seen: DataFrame) -> DataFrame:
     """Lengths at which a source cuts: ``source, measure, length, texts``.
 
     A limit holds at least ``LEAST_AT_LIMIT`` distinct texts and ``LIMIT_RATIO`` times what the
-    ``NEIGHBOURS`` lengths to either side hold on average. A pile of texts shows in several
+    ``NEIGHBOURS`` lengths to either side hold on average, and at least ``LEAST_OPEN`` of them have
+    an unfinished ending; messages that a machine writes pile up too, but are finished. A pile of texts shows in several
     measures; a source cuts by the one with its largest pile, then by the earlier one.
     """
     stack = F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(m).alias("measure"), F.col(m).alias("length")) for i, m in enumerate(MEASURES)])).alias("x")
-    texts = seen.groupBy("source", "copy").agg(*[F.max(m).alias(m) for m in MEASURES])
-    counts = texts.select("source", stack).groupBy("source", "x.rank", "x.measure", "x.length").agg(F.count("*").alias("texts"))
+    texts = seen.groupBy("source", "copy").agg(F.max(F.col("state").isin("open", "bullet").cast("int")).alias("open"), *[F.max(m).alias(m) for m in MEASURES])
+    counts = texts.select("source", "open", stack).groupBy("source", "x.rank", "x.measure", "x.length").agg(F.count("*").alias("texts"), F.avg("open").alias("open"))
     near = Window.partitionBy("source", "measure").orderBy("length").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
     counts = counts.withColumn("around", (F.sum("texts").over(near) - F.col("texts")) / (2 * NEIGHBOURS))
     around = F.col("around")
-    spike = (F.col("texts") >= LEAST_AT_LIMIT) & (F.col("texts") > LIMIT_RATIO * F.greatest(around, F.lit(0.25)) + 4 * F.sqrt(around))
+    spike = (F.col("open") >= LEAST_OPEN) & (F.col("texts") >= LEAST_AT_LIMIT) & (F.col("texts") > LIMIT_RATIO * F.greatest(around, F.lit(0.25)) + 4 * F.sqrt(around))
     spikes = counts.where(spike).select("source", "rank", "measure", "length", "texts")
     chief = spikes.groupBy("source").agg(F.max(F.struct("texts", -F.col("rank"), "measure")).getField("measure").alias("measure"))
     return spikes.join(chief, ["source", "measure"])
@@ -238,10 +244,8 @@ def truncation_report(documents: DataFrame) -> DataFrame:
     seen = cut(inspected(documents))
     limits = hidden_limits(seen)
     stack = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("n")) for m in MEASURES])).alias("x")
-    # a multi-byte character may leave up to three bytes free
-    at = seen.where("state <> 'done'").select("doc_id", "source", stack).select("doc_id", "source", "x.measure", "x.n")
-    free = F.when(F.col("measure") == "bytes", F.sequence(F.col("n"), F.col("n") + 3)).otherwise(F.array("n"))
-    at = at.select("doc_id", "source", "measure", F.explode(free).alias("length")).join(limits, ["source", "measure", "length"])
+    at = seen.where("state <> 'done'").select("doc_id", "source", stack).select("doc_id", "source", "x.measure", F.col("x.n").alias("length"))
+    at = at.join(limits, ["source", "measure", "length"])
     best = at.groupBy("doc_id").agg(F.max(F.struct("texts", -F.col("rank"), "measure", "length")).alias("b"))
     best = best.select("doc_id", F.col("b.measure").alias("limit_measure"), F.col("b.length").alias("limit_length"))
     vocabulary = seen.select(F.explode("known").alias("word")).groupBy("word").agg(F.count("*").alias("uses"))

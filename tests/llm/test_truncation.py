@@ -28,11 +28,11 @@ def found(spark, docs):
 @pytest.mark.parametrize(
     ("text", "state"),
     [
-        (DIFF, "whole"), (DIFF + "\n", "whole"), (DIFF + "\n\\ No newline at end of file", "whole"), (DIFF[:-6], "open"), (DIFF + "\n@@ -9,", "open"), (DIFF + "\ndiff --git a/b b/", "open"),
-        (DIFF.replace("1 file changed", "2 files changed"), "open"), (DIFF.replace("1 insertion", "4 insertions"), "open"), (DIFF + "\n-- \npatchmailer 1.2\n", "whole"), (DIFF + "…", "open"),
+        (DIFF, "whole"), (DIFF + "\n", "done"), (DIFF + "\n\\ No newline at end of file", "whole"), (DIFF[:-6], "open"), (DIFF + "\n@@ -9,", "open"), (DIFF + "\ndiff --git a/b b/", "open"),
+        (DIFF.replace("1 file changed", "2 files changed"), "open"), (DIFF.replace("1 insertion", "4 insertions"), "open"), (DIFF + "\n-- \npatchmailer 1.2\n", "done"), (DIFF + "…", "open"),
         ("t\n\ndiff --git a/x.png b/x.png\nindex 1..2\nBinary files a/x.png and b/x.png differ", "whole"), ("t\n\ndiff --git a/x.png b/x.png\nindex 1..2\nBinary files a/x.png and b/x", "open"),
         ("diff --git a/a.py b/a.py\nsimilarity index 100%\nrename from a.py\nrename to b/c.py", "whole"), ("diff --git a/a.py b/a.py\nsimilarity index 100%\nrename from a.py\nrename to b/c.p", "open"),
-        ("x\n\ndiff --git a/e b/e\nnew file mode 100644\nindex 0000000..e69de29\n", "whole"), ("x\n\ndiff --git a/e b/e\nold mode 100644\nnew mode 100755", "whole"),
+        ("x\n\ndiff --git a/e b/e\nnew file mode 100644\nindex 0000000..e69de29\n", "done"), ("x\n\ndiff --git a/e b/e\nold mode 100644\nnew mode 100755", "whole"),
         ("plain", None), ("", None),
     ],
 )
