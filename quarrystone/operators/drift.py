@@ -11,12 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.operators.tree_edit import Node, edit_script
 from quarrystone.plans.components import components
-from quarrystone.plans.scans import running_max
 from quarrystone.session import cut
 
 BLOCK = 512
@@ -52,98 +51,108 @@ def _block() -> Column:
     return F.floor(F.col("file.file_seq") / BLOCK)
 
 
+def _numbered(files: DataFrame) -> DataFrame:
+    """Files of each series numbered 1, 2, 3... in order, with the number of the last one."""
+    blocked = files.withColumn("_b", _block())
+    heads = blocked.groupBy("series", "_b").agg(F.count("*").alias("n"))
+    over = Window.partitionBy("series").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("series", "_b", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("off"), F.sum("n").over(Window.partitionBy("series")).alias("files"))
+    within = Window.partitionBy("series", "_b").orderBy("file")
+    return blocked.join(heads, ["series", "_b"]).select("series", "file", (F.col("off") + F.row_number().over(within)).alias("at"), "files")
+
+
 def column_states(facts: DataFrame) -> DataFrame:
-    """Each column of each file with its neighbours and what is last known of it, this file included.
+    """Each column of each file with what is last known of it, this file included.
 
-    ``prev`` and ``next`` are the neighbouring files of the series; ``run`` is the file in which
-    the column last appeared anew. Knowledge from before that is forgotten.
+    ``at`` is the number of the file in its series of ``files``; ``run`` numbers the unbroken
+    stretches of files that have the column, and knowledge does not pass from one to the next.
+    Per column the rows are scanned by blocks: a block's rows are numbered, the blocks' counts and
+    last known facts are added up over the blocks before, and both are put together.
     """
     f = file_columns(facts)
-    files = f.select("series", "file").distinct()
-    files = running_max(files, ["series"], ["file"], {"prev": (F.col("file"), False)}, _block())
-    files = running_max(files, ["series"], ["file"], {"next": (F.col("file"), False)}, _block(), descending=True)
-    f = f.join(files, ["series", "file"])
+    f = f.join(_numbered(f.select("series", "file").distinct()), ["series", "file"])
     key = ["series", "name"]
-    f = running_max(f, key, ["file"], {"seen": (F.col("file"), False)}, _block())
-    fresh = F.col("seen").isNull() | ~F.col("seen").eqNullSafe(F.col("prev"))
-    t = F.when(F.col("types").isNotNull(), F.struct("file", "types"))
-    n = F.when(F.col("nullable").isNotNull(), F.struct("file", "nullable"))
-    f = running_max(f, key, ["file"], {"run": (F.when(fresh, F.col("file")), True), "lt": (t, True), "ln": (n, True)}, _block())
-    last = lambda c, v: F.when(F.col(f"{c}.file") >= F.col("run"), F.col(f"{c}.{v}"))
-    return f.select("series", "file", "prev", "next", "name", "pos", "types", "nullable", "run", last("lt", "types").alias("last_types"), last("ln", "nullable").alias("last_nullable"))
-
-
-_SIDE = "struct<pos:int,types:string,last_types:string,nullable:boolean,last_nullable:boolean,run:struct<file_seq:int,file_id:bigint>>"
+    part = [*key, "_b"]
+    f = f.withColumn("_b", F.floor(F.col("at") / BLOCK)).withColumn("_n", F.row_number().over(Window.partitionBy(*part).orderBy("at")))
+    gap = (F.col("at") - F.col("_n")).alias("gap")  # the same for all rows of a stretch, but for the rows in earlier blocks
+    known = {c: F.when(F.col(c).isNotNull(), F.struct("at", gap, F.col(c).alias("v"))) for c in ("types", "nullable")}
+    heads = f.groupBy(*part).agg(F.count("*").alias("n"), *[F.max(k).alias(c) for c, k in known.items()])
+    before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    shift = lambda c, off: F.when(c.isNotNull(), F.struct(c["at"].alias("at"), (c["gap"] - off).alias("run"), c["v"].alias("v")))
+    heads = heads.select(*part, "off", *[F.max(shift(F.col(c), F.col("off"))).over(before).alias(f"_c{c}") for c in known])
+    f = f.join(heads, part)
+    local = Window.partitionBy(*part).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    for c, k in known.items():
+        f = f.withColumn(f"_l{c}", F.max(k).over(local))
+    f = f.withColumn("run", F.col("at") - F.col("_n") - F.col("off"))
+    last = {c: F.greatest(F.col(f"_c{c}"), shift(F.col(f"_l{c}"), F.col("off"))) for c in known}
+    return f.select("series", "file", "at", "files", "name", "pos", "types", "nullable", "run", *[F.when(x["run"] == F.col("run"), x["v"]).alias(f"last_{c}") for c, x in last.items()])
+
+
+_SIDE = "struct<pos:int,types:string,last_types:string,nullable:boolean,last_nullable:boolean,run:bigint>"
 
 
 def _pairs(states: DataFrame) -> DataFrame:
-    """Full outer pairing of each file's columns with those of the file before it."""
-    side = F.struct("pos", "types", "last_types", "nullable", "last_nullable", F.col("run").cast("struct<file_seq:int,file_id:bigint>").alias("run")).cast(_SIDE)
-    none = F.lit(None).cast(_SIDE)
-    old = states.where("next is not null").select("series", F.col("next").alias("file"), "name", side.alias("old"), none.alias("new"))
-    new = states.where("prev is not null").select("series", "file", "name", none.alias("old"), side.alias("new"))
-    return old.unionByName(new).groupBy("series", "file", "name").agg(F.max("old").alias("old"), F.max("new").alias("new"))
+    """Full outer pairing of each file's columns with those of the file before it, by file number."""
+    side = F.struct("pos", "types", "last_types", "nullable", "last_nullable", "run").cast(_SIDE)
+    none, no_file = F.lit(None).cast(_SIDE), F.lit(None).cast("struct<file_seq:int,file_id:bigint>")
+    old = states.where("at < files").select("series", (F.col("at") + 1).alias("at"), no_file.alias("file"), "name", side.alias("old"), none.alias("new"))
+    new = states.where("at > 1").select("series", "at", F.col("file").cast("struct<file_seq:int,file_id:bigint>").alias("file"), "name", none.alias("old"), side.alias("new"))
+    return old.unionByName(new).groupBy("series", "at", "name").agg(F.max("file.file_id").alias("file_id"), F.max("old").alias("old"), F.max("new").alias("new"))
 
 
-_EDITS = "series string, file_seq int, file_id bigint, op string, old_name string, new_name string"
+_EDITS = "series string, at bigint, file_id bigint, op string, old_name string, new_name string, before boolean, old_run bigint, now boolean, run bigint"
 
 
 def _scripts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tree edit scripts for what two neighbouring schemas do not share by name."""
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64())
+    place = lambda c: (c["pos"] is None, c["pos"], c["name"])
+    tree = lambda side: Node("", children=[Node(c["name"], c["types"], c["pos"], extra=c) for c in sorted(side, key=place)])
     for batch in batches:
-        cols: list[list] = [[], [], [], [], [], []]
-        for row in batch.to_pylist():
-            tree = lambda side: Node("", None, None, [Node(c["name"], c["types"], c["pos"]) for c in sorted(side or [], key=lambda c: (c["pos"] is None, c["pos"], c["name"]))])
-            for e in edit_script(tree(row["gone"]), tree(row["fresh"])):
-                for c, v in zip(cols, (row["series"], row["file_seq"], row["file_id"], e.op, e.old_path, e.new_path)):
-                    c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string()))], names=["series", "file_seq", "file_id", "op", "old_name", "new_name"])
-
-
-def _edits(pairs: DataFrame) -> DataFrame:
-    """Renames, deletions and additions of each pair of neighbouring files."""
-    rest = pairs.where("old is null or new is null")
-    item = lambda side, types: F.when(F.col(side).isNotNull(), F.struct("name", F.col(f"{side}.{types}").alias("types"), F.col(f"{side}.pos").alias("pos")))
-    per_file = rest.groupBy("series", "file").agg(F.collect_list(item("old", "last_types")).alias("gone"), F.collect_list(item("new", "types")).alias("fresh"))
-    both = (F.size("gone") > 0) & (F.size("fresh") > 0)
-    kernel = per_file.where(both).select("series", "file.file_seq", "file.file_id", "gone", "fresh").mapInArrow(_scripts, _EDITS)
-    file = F.struct(F.col("file_seq"), F.col("file_id")).alias("file")
-    kernel = kernel.select("series", file, "op", "old_name", "new_name")
-    sole = per_file.where(~both)
-    out = sole.select("series", "file", F.lit("delete").alias("op"), F.explode("gone").alias("c")).select("series", "file", "op", F.col("c.name").alias("old_name"), F.lit("").alias("new_name"))
-    new = sole.select("series", "file", F.lit("add").alias("op"), F.explode("fresh").alias("c")).select("series", "file", "op", F.lit("").alias("old_name"), F.col("c.name").alias("new_name"))
-    return kernel.unionByName(out).unionByName(new)
-
-
-def _inherited(pairs: DataFrame, renames: DataFrame) -> DataFrame:
+        rows = []
+        for r in batch.to_pylist():
+            gone = [c for c in r["rest"] if c["old"]]
+            for e in edit_script(tree(gone), tree([c for c in r["rest"] if not c["old"]])):
+                a, b = e.old.extra if e.old else {}, e.new.extra if e.new else {}
+                rows.append((r["series"], r["at"], r["file_id"], e.op, e.old_path, e.new_path, a.get("nullable"), a.get("run"), b.get("nullable"), b.get("run")))
+        cols = list(zip(*rows)) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in _EDITS.split(", ")])
+
+
+def _edits(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """Renames, deletions and additions of each pair of neighbouring files.
+
+    What is collected for a pair are the columns that its two schemas do not share.
+    """
+    gone, side = F.col("old").isNotNull(), lambda f, a, b: F.when(F.col("old").isNotNull(), F.col(f"old.{a}")).otherwise(F.col(f"new.{b}")).alias(f)
+    item = F.struct("name", gone.alias("old"), side("pos", "pos", "pos"), side("types", "last_types", "types"), side("nullable", "last_nullable", "nullable"), side("run", "run", "run"))
+    rest = pairs.where("old is null or new is null").groupBy("series", "at").agg(F.collect_list(item).alias("rest"))
+    return rest.join(files, ["series", "at"]).select("series", "at", "file_id", "rest").mapInArrow(_scripts, _EDITS)
+
+
+def _inherited(edits: DataFrame) -> DataFrame:
     """Last known nullability that columns take over with a rename.
 
-    Rows ``(series, name, run, inherited)`` for each run of files that began with a rename. Where
-    the old name itself knows nothing the chain of renames is followed by pointer doubling.
+    Rows ``(series, name, run, inherited)`` for each stretch that began with a rename. Where the
+    old name itself knows nothing the chain of renames is followed by pointer doubling.
     """
-    old = pairs.where("old is not null and new is null").select("series", "file", F.col("name").alias("old_name"), F.col("old.last_nullable").alias("inherited"), F.col("old.run").alias("old_run"))
-    links = cut(
-        renames.join(old, ["series", "file", "old_name"]).select(
-            "series", F.col("new_name").alias("name"), F.col("file").alias("run"), "inherited", F.col("old_name").alias("to_name"), F.col("old_run").alias("to_run")
-        )
-    )
+    links = edits.where("op = 'rename'").select("series", F.col("new_name").alias("name"), "run", F.col("before").alias("inherited"), F.col("old_name").alias("to_name"), F.col("old_run").alias("to_run"))
     while not links.where("inherited is null and to_name is not null").isEmpty():
         up = links.select("series", F.col("name").alias("to_name"), F.col("run").alias("to_run"), F.col("inherited").alias("i2"), F.col("to_name").alias("n2"), F.col("to_run").alias("r2"))
-        step = links.join(up, ["series", "to_name", "to_run"], "left")
         open_ = F.col("inherited").isNull()
-        links = cut(
-            step.select(
-                "series", "name", "run", F.coalesce("inherited", "i2").alias("inherited"), F.when(open_, F.col("n2")).alias("to_name"), F.when(open_, F.col("r2")).alias("to_run")
-            )
-        )
+        step = links.join(up, ["series", "to_name", "to_run"], "left")
+        links = cut(step.select("series", "name", "run", F.coalesce("inherited", "i2").alias("inherited"), F.when(open_, F.col("n2")).alias("to_name"), F.when(open_, F.col("r2")).alias("to_run")))
     return links.select("series", "name", "run", "inherited")
 
 
-def drift_steps(facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs, edits (add, delete, rename) and inherited knowledge; the parts of the other reports."""
-    pairs = cut(_pairs(column_states(facts)))
-    edits = cut(_edits(pairs))
-    return pairs, edits, _inherited(pairs, edits.where("op = 'rename'"))
+def drift_steps(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of columns of neighbouring files and the edits (add, delete, rename) between them."""
+    states = cut(column_states(facts))
+    files = states.select("series", "at", F.col("file.file_id").alias("file_id")).distinct()
+    pairs = cut(_pairs(states))
+    return pairs, cut(_edits(pairs, files))
 
 
 def schema_changes(facts: DataFrame) -> DataFrame:
@@ -153,24 +162,22 @@ def schema_changes(facts: DataFrame) -> DataFrame:
     ``renamed``, ``type_changed``, ``nullable_changed``. Order alone is no change; a first file
     has no changes; an empty table gives none.
     """
-    pairs, edits, inherited = drift_steps(facts)
+    pairs, edits = drift_steps(facts)
     kind = F.element_at(F.create_map(*[F.lit(x) for x in ("add", "added", "delete", "removed", "rename", "renamed")]), F.col("op"))
-    moved = edits.select("series", "file.file_id", kind.alias("change_kind"), "old_name", "new_name")
-    kept = pairs.where("old is not null and new is not null").select("series", "file", F.col("name").alias("old_name"), F.col("name").alias("new_name"), "old", "new")
-    gone = pairs.where("new is null").select("series", "file", F.col("name").alias("old_name"), "old")
-    came = pairs.where("old is null").select("series", "file", F.col("name").alias("new_name"), "new")
-    renamed = edits.where("op = 'rename'").join(gone, ["series", "file", "old_name"]).join(came, ["series", "file", "new_name"]).select(kept.columns)
-    both = kept.unionByName(renamed).withColumn("name", F.col("old_name")).withColumn("run", F.col("old.run"))
-    both = both.join(inherited, ["series", "name", "run"], "left")
-    before = F.coalesce(F.col("old.last_nullable"), F.col("inherited"))
-    kinds = F.array_compact(
-        F.array(
-            F.when(F.col("old.last_types") != F.col("new.types"), F.lit("type_changed")),
-            F.when(before != F.col("new.nullable"), F.lit("nullable_changed")),
-        )
-    )
-    changed = both.select("series", "file.file_id", F.explode(kinds).alias("change_kind"), "old_name", "new_name")
-    return moved.unionByName(changed)
+    moved = edits.select("series", "file_id", kind.alias("change_kind"), "old_name", "new_name")
+    inherited = _inherited(edits)
+    kept = pairs.where("old is not null and new is not null").select(
+        "series", "file_id", F.col("name").alias("old_name"), F.col("name").alias("new_name"), F.col("old.run").alias("run"),
+        (F.col("old.last_types") != F.col("new.types")).alias("retyped"), F.col("old.last_nullable").alias("before"), F.col("new.nullable").alias("now"),
+    )
+    renamed = edits.where("op = 'rename'").select("series", "file_id", "old_name", "new_name", F.col("old_run").alias("run"), F.lit(False).alias("retyped"), "before", "now")
+    both = kept.unionByName(renamed)
+    # the chain matters only where a column says now what it has not said before in its stretch
+    silent = both.where("before is null and now is not null").drop("before").withColumn("name", F.col("old_name"))
+    told = silent.join(inherited.withColumnRenamed("inherited", "before"), ["series", "name", "run"]).drop("name")
+    changed = both.unionByName(told.withColumn("retyped", F.lit(False)))
+    kinds = F.array_compact(F.array(F.when(F.col("retyped"), F.lit("type_changed")), F.when(F.col("before") != F.col("now"), F.lit("nullable_changed"))))
+    return moved.unionByName(changed.select("series", "file_id", F.explode(kinds).alias("change_kind"), "old_name", "new_name"))
 
 
 _WIDEN = "CASE WHEN types IS NULL THEN 'unknown' WHEN types RLIKE 'string|[|]' AND NOT types RLIKE '^integer[|]number$' THEN 'string' WHEN types RLIKE 'number' THEN 'number' ELSE types END"
@@ -179,7 +186,7 @@ _WIDEN = "CASE WHEN types IS NULL THEN 'unknown' WHEN types RLIKE 'string|[|]' A
 def _lineage(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """File columns with the name their line of renames bears last, and their unified type."""
     cols = cut(file_columns(facts))
-    _, edits, _ = drift_steps(facts)
+    edits = drift_steps(facts)[1]
     node = lambda c: F.struct(F.col("series"), F.col(c).alias("name"))
     edges = edits.where("op = 'rename'").select(node("old_name").alias("a"), node("new_name").alias("b"))
     groups = components(edges, "a", "b").select("node.series", "node.name", F.col("component.name").alias("line"))
