@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.functions import names
 from quarrystone.operators.admission import greedy_admission
+from quarrystone.plans.topk import first_per_group
 
 # fixed values: limits of a survey
 MOST_FILES, MOST_DEPTH, MOST_FILE_BYTES, MOST_TOTAL_BYTES = 10_000, 32, 256 << 20, 2 << 30
@@ -42,8 +43,8 @@ def survey(files: DataFrame, key: str, order: str, path: str = "path", size: str
     """
     f = files.withColumn("code", skip_code(F.col(path), F.col(size)))
     fit = greedy_admission(f.where("code is null"), key, order, size, most_bytes).select(key, order)
-    ranked = fit.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    admitted = f.join(ranked, [key, order]).where(F.col("_n") <= most_files).drop("code", "_n")
+    kept = first_per_group(fit, [key], [F.col(order)], F.lit(most_files), F.col(order)).drop("rank")
+    admitted = f.join(kept, [key, order]).drop("code")
     skipped = f.join(admitted.select(key, order), [key, order], "left_anti")
     return admitted, skipped.withColumn("code", F.coalesce("code", F.lit("TOTAL_SIZE_LIMIT")))
 
