@@ -71,6 +71,18 @@ class Scanner:
             h ^= h >> np.uint64(32)
         return start, end, h
 
+    def long_tokens(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``tokens`` of one text of any length, piece by piece; pieces end between words."""
+        parts, at = [], 0
+        while at < len(data) or not parts:
+            end = min(len(data), at + SLICE_BYTES)
+            while end < len(data) and _WORD[data[end]]:
+                end += 1
+            start, stop, h = self.tokens(data[at:end], np.array([0, end - at]))
+            parts.append((start + at, stop + at, h))
+            at = end
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
     def windows(self, h: np.ndarray) -> np.ndarray:
         """Hash of each run of ``n`` words."""
         m = len(h) - self.n + 1
@@ -136,7 +148,7 @@ def scan_texts(texts: pa.Array, grams: Grams, scan: Scanner) -> Iterator[tuple[i
         base = offsets[i]
         data = _LOWER[whole[base : offsets[j]]]
         bounds = offsets[i : j + 1] - base
-        start, end, h = scan.tokens(data, bounds)
+        start, end, h = scan.tokens(data, bounds) if j > i + 1 else scan.long_tokens(data)
         w = scan.windows(h)
         hit = grams.hits(w)
         if not len(hit):

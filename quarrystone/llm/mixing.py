@@ -10,6 +10,7 @@ inside one bucket per source last, so that no task sorts a whole source.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +24,8 @@ from quarrystone.session import cut
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the pattern that splits text before the merges of the rank files
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PIECE = 1 << 18
+_BREAK = re.compile(r"(?<=\S)\n(?=\S)")
 BUCKETS = 4096
 SEED = 42
 MOST_TARGETS = 10_000
@@ -37,10 +40,25 @@ def _encoding(path: str):  # noqa: ANN202
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _pieces(text: str) -> Iterator[str]:
+    """A text in pieces of about ``PIECE`` signs whose tokens are those of the whole.
+
+    A single line break between two other signs is a token of its own, so a cut behind it changes nothing.
+    """
+    at = 0
+    while len(text) - at > PIECE:
+        m = _BREAK.search(text, at + PIECE)
+        if not m:
+            break
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:] if at else text
+
+
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     encode = _encoding(path).encode_ordinary
     for batch in batches:
-        n = [len(encode(t)) for t in batch.column(2).to_pylist()]
+        n = [len(encode(t)) if len(t) <= PIECE else sum(len(encode(x)) for x in _pieces(t)) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(n, pa.int64())], names=["doc_id", "source", "chars", "tokens"])
 
 

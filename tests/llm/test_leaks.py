@@ -52,6 +52,7 @@ def test_words_do_not_join_across_documents_or_slices(spark, monkeypatch):
     texts = pa.array(["a b c d e", "f g h i j", None, "", "x a b c d e f g h i j y"]).slice(0)
     hits = list(leaks.scan_texts(texts, g, leaks.Scanner()))
     assert hits == [(4, 2, 21, [1])]
+    assert list(leaks.scan_texts(pa.array(["x" * 50, "a b c d e f g h i j", "é a b c d e f g h i j"]), g, leaks.Scanner())) == [(1, 0, 19, [1]), (2, 3, 22, [1])]
     assert [h[0] for h in leaks.scan_texts(texts.slice(3), g, leaks.Scanner())] == [1]
 
 

@@ -66,3 +66,14 @@ def test_plan_and_bounds(spark):
             mix(spark, [(1, "t", "a")], [("a", 0.5, 1), ("b", 0.5, 1)])
         finally:
             mixing.MOST_TARGETS = old
+
+
+def test_long_texts_are_counted_piece_by_piece(monkeypatch):
+    rng = random.Random(5)
+    encode = mixing._encoding(mixing.TOKENIZER).encode_ordinary
+    for _ in range(40):
+        text = "".join(rng.choice(["word", " two", "\n", "\n\n", "\r\n", " ", "\t", "it's", "+", "12", "é", "'", "\n+", " \n"]) for _ in range(300))
+        monkeypatch.setattr(mixing, "PIECE", rng.choice([1, 7, 50]))
+        pieces = list(mixing._pieces(text))
+        assert "".join(pieces) == text and len(pieces) > 1
+        assert [t for x in pieces for t in encode(x)] == encode(text)
