@@ -461,4 +461,36 @@ UNION ALL SELECT p.dataset, p.model, 'model', c.field FROM p JOIN {_CONTRACTS} O
 SELECT user_id, min(ts) AS session_start, count(*) AS n FROM (
   SELECT user_id, ts, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s
   FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events)) GROUP BY user_id, s""",
+    "image_samples": f"""
+WITH c AS (SELECT resource_id, candidate_key, path, content_hash, coalesce(nullif(lower(trim(stratum)), ''), 'format:' || coalesce(nullif(lower(regexp_extract(replace(path, chr(92), '/'), '[.]([^./]+)$', 1)), ''), 'unknown')) AS stratum
+  FROM (SELECT *, row_number() OVER (PARTITION BY candidate_key ORDER BY discovered_at DESC NULLS LAST, resource_id DESC NULLS LAST, stratum DESC NULLS LAST, path DESC NULLS LAST, content_hash DESC NULLS LAST) AS n FROM image_candidates) WHERE n = 1),
+q AS (SELECT *, b::DOUBLE * members / total AS raw FROM (SELECT resource_id, stratum, count(*) AS members, sum(count(*)) OVER (PARTITION BY resource_id) AS total, least(64, sum(count(*)) OVER (PARTITION BY resource_id)) AS b FROM c GROUP BY 1, 2)),
+q2 AS (SELECT *, least(members, CAST(floor(raw) AS BIGINT)) AS base FROM q),
+q3 AS (SELECT resource_id, stratum, base + CASE WHEN base < members AND row_number() OVER (PARTITION BY resource_id ORDER BY base < members DESC, raw - floor(raw) DESC, stratum) <= b - sum(base) OVER (PARTITION BY resource_id) THEN 1 ELSE 0 END AS quota FROM q2)
+SELECT resource_id, candidate_key, stratum, 'sample_' || substr(sha256('{SEED}|image|' || coalesce(path, '')), 1, 16) AS sample_id FROM (
+  SELECT c.*, quota, row_number() OVER (PARTITION BY c.resource_id, c.stratum ORDER BY sha256('{SEED}|' || c.stratum || '|' || coalesce(path, '') || '|' || coalesce(content_hash, '')), coalesce(path, '')) AS n
+  FROM c JOIN q3 ON c.resource_id = q3.resource_id AND c.stratum = q3.stratum) WHERE n <= quota""",
+    "temporal_slices": """
+WITH v AS (SELECT video_path AS path, greatest(1, max(end_ms)) AS d, max(frame_end) + 1 AS f, max(sampling_fps) AS fps FROM sample_refs WHERE video_path IS NOT NULL GROUP BY 1 HAVING max(end_ms) IS NOT NULL AND max(frame_end) + 1 > 0 AND max(sampling_fps) > 0),
+s AS (SELECT path, slice, d, f, fps, CAST(least(floor((slice + 0.5::DOUBLE) * d / 3), greatest(0, d - 1)) AS BIGINT) AS a FROM v, range(3) t(slice)),
+e AS (SELECT *, least(d, a + 500) AS z FROM s),
+g AS (SELECT *, least(f - 1, greatest(0, CAST(round_even(a * fps / 1000, 0) AS BIGINT))) AS fs FROM e)
+SELECT path, slice, a AS start_ms, greatest(a + 1, z) AS end_ms, fs AS frame_start, least(f - 1, greatest(fs, CAST(round_even((z - 1) * fps / 1000, 0) AS BIGINT))) AS frame_end FROM g""",
+    "closed_members": """
+SELECT CASE WHEN k IS NOT NULL THEN array_to_string(list_sort(list_concat(['-' || x for x in ['stage', 'state'] if NOT list_contains(k, x)], ['+' || x for x in k if x NOT IN ('stage', 'state')])), '|') END AS difference, count(*) AS n
+FROM (SELECT CASE WHEN json_valid(data_json) THEN json_keys(data_json) END AS k FROM job_event_deliveries WHERE event_type = 'stage') GROUP BY 1""",
+    "plain_events": """
+SELECT event_type, coalesce(CASE WHEN json_valid(data_json) THEN json_extract_string(data_json, '$.stage') END, 'unknown') AS stage, count(*) AS n FROM job_event_deliveries WHERE event_type NOT IN ('result', 'end') GROUP BY 1, 2""",
+    "plan_violations": f"""
+WITH p(source, target) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in PLAN)}), d AS (SELECT name, min(data_type) AS data_type FROM ({_DATASETS}) GROUP BY 1),
+c AS (SELECT field, field_type, required FROM {_CONTRACTS} WHERE model = 'captioner')
+SELECT 'unknown_source' AS violation, source AS name FROM p WHERE source NOT IN (SELECT name FROM d)
+UNION ALL SELECT 'unknown_target', target FROM p WHERE target NOT IN (SELECT field FROM c)
+UNION ALL SELECT 'target_twice', target FROM p GROUP BY target HAVING count(*) > 1
+UNION ALL SELECT 'types', target FROM p JOIN d ON d.name = source JOIN c ON c.field = target WHERE NOT (data_type = field_type OR (data_type IN ('string', 'text', 'utf8') AND field_type IN ('string', 'text', 'utf8')))
+UNION ALL SELECT 'required_missing', field FROM c WHERE required AND field NOT IN (SELECT target FROM p)""",
+    "contract_union": f"""
+WITH d AS (SELECT name, min(data_type) AS data_type FROM ({_DATASETS}) GROUP BY 1), c AS (SELECT field, field_type FROM {_CONTRACTS} WHERE model = 'captioner')
+SELECT field AS name, field_type AS data_type, 'contract' AS origin FROM c
+UNION ALL SELECT name, data_type, 'dataset' FROM d WHERE name NOT IN ('caption', 'mask_path') AND name NOT IN (SELECT field FROM c)""",
 }

@@ -110,6 +110,11 @@ SELECT DISTINCT * FROM (
 SQL: dict[str, str] = {
     "p1_found": _P1,
     "p3_found": _P3,
+    "p1_report": f"SELECT series, change_kind, count(*) AS changes, count(DISTINCT file_id) AS files FROM ({_P1}) JOIN (SELECT DISTINCT series, file_id FROM column_facts) USING (file_id) GROUP BY 1, 2",
+    "p3_tables": _P3
+    + """
+UNION ALL SELECT DISTINCT profile_id, 'snapshot', sp, -1, sp, s ->> '$.revision' FROM snaps
+UNION ALL SELECT DISTINCT profile_id, 'sampling_run', sp, gp, gp, m ->> '$.id' FROM runs2""",
     "p5_found": f"SELECT delivery_id FROM ({_FIRST}) WHERE copy > 1",
     "p5_messages": f"SELECT delivery_id, batch_id, event_id, event_type, received_at FROM ({_FIRST}) WHERE copy = 1",
 }

@@ -284,4 +284,26 @@ SELECT doc_id, sha256(c) AS clean_hash, text <> c AS changed FROM (
 SELECT series, CASE WHEN len(t) = 0 AND h_label THEN 'image_classification' ELSE array_to_string(t, '|') END AS tasks, CASE WHEN len(u) = 0 AND h_label THEN 'class_label' ELSE array_to_string(u, '|') END AS supervision FROM (
   SELECT *, {_picked(_TASK_RULES)} AS t, {_picked(_SUPERVISION_RULES)} AS u FROM (
     SELECT series, {", ".join(_family("name", f) for f in structure.TOKENS)} FROM ({_FEATURES}) GROUP BY series))""",
+    "delivered_json_members": f"""
+SELECT name, CASE t WHEN 'NULL' THEN NULL WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'BIGINT' THEN 'integer' WHEN 'UBIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' ELSE {_scalar("v")} END AS kind, count(*) AS n FROM (
+  SELECT k AS name, json_type(j, '$."' || k || '"') AS t, j ->> ('$."' || k || '"') AS v FROM (SELECT CAST(data_json AS JSON) AS j, unnest(json_keys(data_json)) AS k FROM job_event_deliveries WHERE json_valid(data_json))) GROUP BY ALL""",
+    "doc_excerpt": r"""
+SELECT doc_id, left(array_to_string([y for y in [regexp_replace(x, '^\s+|\s+$', '', 'g') for x in regexp_split_to_array(
+  regexp_replace(left(text, 24576), '(authorization\s*:\s*bearer\s+|api[_ -]?key\s*[=:]\s*|sk-[A-Za-z0-9_-]{8,})[^\s"'']+', '[REDACTED]', 'gi'), '\r\n|\r|\n')] if y <> ''], ' '), 800) AS excerpt FROM documents""",
+    "survey_sketch": f"""
+WITH f AS (SELECT resource_id, lower(list_extract(string_split(file_path, '/'), -1)) AS b, lower(regexp_extract(list_extract(string_split(file_path, '/'), -1), '[^.].*?([.][^.]+)$', 1)) AS s,
+  list_has_any(string_split(replace(lower(array_to_string([regexp_replace(x, '(.)[.][^.]*$', '\\1') for x in string_split(file_path, '/')], '_')), '-', '_'), '_'), [{", ".join(repr(t) for t in names.ANNOTATION_TOKENS)}]) AS a
+  FROM (SELECT DISTINCT resource_id, file_id, file_path FROM column_facts)),
+k AS (SELECT resource_id, CASE WHEN b IN ('readme', 'readme.md', 'readme.txt', 'license', 'changelog') OR starts_with(b, 'readme.') THEN 'documentation' WHEN s IN ({", ".join(repr(t) for t in names.IMAGE_SUFFIXES)}) THEN 'image'
+  WHEN s IN ({", ".join(repr(t) for t in names.VIDEO_SUFFIXES)}) THEN 'video' WHEN a AND s IN ({", ".join(repr(t) for t in names.ANNOTATION_SUFFIXES)}) THEN 'annotation' WHEN s IN ({", ".join(repr(t) for t in names.STRUCTURED_SUFFIXES)}) THEN 'structured' ELSE 'other' END AS k FROM f)
+SELECT resource_id, count(*) AS files, {", ".join(f"count(*) FILTER (WHERE k = '{x}') AS {x}" for x in ("documentation", "image", "video", "annotation", "structured", "other"))} FROM k GROUP BY resource_id""",
+    "snapshot_revisions": """
+WITH f AS (SELECT resource_id, sha256(concat_ws(chr(1), path, CAST(max(byte_size) AS VARCHAR), CAST(epoch_us(max(discovered_at)) AS VARCHAR))) AS h FROM image_candidates GROUP BY resource_id, path)
+SELECT resource_id, substr(sha256(concat_ws('|', count(*), sum(CAST('0x' || substr(h, 1, 15) AS UBIGINT)), sum(CAST('0x' || substr(h, 16, 15) AS UBIGINT)), sum(CAST('0x' || substr(h, 31, 15) AS UBIGINT)))), 1, 16) AS revision FROM f GROUP BY resource_id""",
+    "structural_conflicts": f"""
+SELECT resource_id, c AS conflict, CASE WHEN len(f) > 0 AND NOT c THEN 'VERIFIED' ELSE 'UNKNOWN' END AS status, CASE WHEN len(f) > 0 AND NOT c THEN array_to_string(f, '|') END AS value,
+  CASE WHEN len(f) > 0 AND NOT c THEN NULL WHEN c THEN 'CONFLICTING_EVIDENCE' ELSE 'NO_EVIDENCE' END AS reason FROM (
+  SELECT *, len(f) > 0 AND len(m) > 0 AND len([x for x in f if NOT list_contains(m, x)]) > 0 AS c FROM (
+    SELECT resource_id, coalesce(list(DISTINCT seen ORDER BY seen) FILTER (WHERE seen <> 'unknown'), []) AS f, coalesce(list(DISTINCT told) FILTER (WHERE told <> 'UNKNOWN'), []) AS m FROM (
+      SELECT resource_id, coalesce(lower(trim(split_name)), 'UNKNOWN') AS told, {_SPLIT} AS seen FROM (SELECT *, {_HIT} AS s FROM image_candidates)) GROUP BY 1))""",
 }
