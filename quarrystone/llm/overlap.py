@@ -144,6 +144,33 @@ def cross_split_pairs(candidates: DataFrame, samples: DataFrame) -> DataFrame:
     return both.where("train_key <> eval_key").distinct()
 
 
+def overlap_links(candidates: DataFrame, samples: DataFrame) -> DataFrame:
+    """One row per record and hash that is met in the other split, without expanding groups of copies.
+
+    ``key, split, content_class, same_links, print_class, near_links``: the classes are the hex
+    values of the hashes; the links count distinct records of the other side with the same
+    content, and with a fingerprint at most ``MOST_DIFFERENT`` bits away. A record listed with
+    several hashes has several rows; a key listed on both sides counts on both.
+    """
+    r = cut(records(candidates, samples).withColumn("train", F.col("split") == "train").select("key", "split", "train", "sha", "high", "low").distinct())
+    both = lambda df, by: df.groupBy(*by).agg(F.countDistinct(F.when(F.col("train"), F.col("key"))).alias("t"), F.countDistinct(F.when(~F.col("train"), F.col("key"))).alias("e"))
+    other = lambda t, e: F.when(F.col("train"), F.col(e)).otherwise(F.col(t))
+    shas = both(r.where("sha is not null"), ["sha"]).where("t > 0 and e > 0").select("sha", F.col("t").alias("st"), F.col("e").alias("se"))
+    prints = cut(both(r.where("high is not null"), ["high", "low"]))
+    near = cut(near_prints(prints.where("t > 0").select("high", "low"), prints.where("e > 0").select("high", "low")))
+    size = lambda h, w, n, c: prints.select(F.col("high").alias(h), F.col("low").alias(w), F.col(n).alias(c))
+    of_train = near.join(size("eh", "el", "e", "n"), ["eh", "el"]).groupBy("th", "tl").agg(F.sum("n").alias("n")).select(F.lit(True).alias("train"), F.col("th").alias("high"), F.col("tl").alias("low"), "n")
+    of_eval = near.join(size("th", "tl", "t", "n"), ["th", "tl"]).groupBy("eh", "el").agg(F.sum("n").alias("n")).select(F.lit(False).alias("train"), F.col("eh").alias("high"), F.col("el").alias("low"), "n")
+    out = r.join(shas, "sha", "left").join(of_train.unionByName(of_eval), ["train", "high", "low"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    out = out.select(
+        "key", "split", F.lower(F.hex("sha")).alias("content_class"), zero(other("st", "se")).alias("same_links"),
+        F.concat(hexed("high"), hexed("low")).alias("print_class"), zero(F.col("n")).alias("near_links"),
+    )
+    return out.where("same_links > 0 or near_links > 0")
+
+
 def overlap_counts(candidates: DataFrame, samples: DataFrame) -> DataFrame:
     """Per evaluation split and resource of the evaluation record: pairs and affected records."""
     pairs = cross_split_pairs(candidates, samples)

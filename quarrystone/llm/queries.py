@@ -22,6 +22,10 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_counts(table(spark, d, "image_candidates"), table(spark, d, "sample_refs"))
 
 
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_links(table(spark, d, "image_candidates"), table(spark, d, "sample_refs"))
+
+
 def p4_subset(spark: SparkSession, d: str) -> DataFrame:
     return variety.varied_subset(table(spark, d, "image_candidates"), table(spark, d, "sampling_summaries"))
 
@@ -62,7 +66,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p2_found, p2_counts, p4_subset, p4_coverage, p6_found, p6_clean, p6_items, p7_mix, p7_shares, p8_found, p8_rates)
+    f.__name__: f for f in (p2_found, p2_counts, p2_links, p4_subset, p4_coverage, p6_found, p6_clean, p6_items, p7_mix, p7_shares, p8_found, p8_rates)
 }
 
 _GRAMS = """
@@ -84,10 +88,29 @@ SELECT DISTINCT least(t.key, e.key) AS key_a, greatest(t.key, e.key) AS key_b
 FROM (SELECT * FROM s WHERE side = 'train') t JOIN (SELECT * FROM s WHERE side = 'eval') e
   ON t.key <> e.key AND (t.h = e.h OR bit_count(xor(t.hi, e.hi)) + bit_count(xor(t.lo, e.lo)) <= 10)""".replace("{{", "{").replace("}}", "}")
 
-SQL: dict[str, str] = {
-    "p2_found": _P2,
-    "p6_found": f"""
+_P6 = f"""
 WITH item_grams AS (SELECT DISTINCT * FROM ({_GRAMS.format(id="item_id", table="eval_items")})),
      doc_grams AS ({_GRAMS.format(id="doc_id", table="documents")})
-SELECT DISTINCT doc_grams.id AS doc_id, item_grams.id AS item_id FROM doc_grams JOIN item_grams USING (gram)""",
+SELECT DISTINCT doc_grams.id AS doc_id, item_grams.id AS item_id FROM doc_grams JOIN item_grams USING (gram)"""
+_WHO = _P2[: _P2.index("SELECT DISTINCT least")].replace("SELECT candidate_key AS key,", "SELECT candidate_key AS key, resource_id,").replace("SELECT sample_key,", "SELECT sample_key, resource_id,").replace("n AS (SELECT key,", "n AS (SELECT key, resource_id,")
+
+SQL: dict[str, str] = {
+    "p2_found": _P2,
+    "p2_counts": f"""
+{_WHO},
+w AS (SELECT DISTINCT key, resource_id, CASE WHEN regexp_full_match(k, '(test|testing|tst|te|holdout|heldout)(set)?') THEN 'test' ELSE 'validation' END AS split FROM (SELECT *, {_SPLIT} AS side FROM n) WHERE side = 'eval'),
+t AS (SELECT DISTINCT key FROM s WHERE side = 'train'),
+pairs AS (SELECT * FROM ({_P2})),
+d AS (SELECT DISTINCT e.key AS e, o.key AS o FROM pairs p JOIN (SELECT DISTINCT key FROM w) e ON e.key IN (p.key_a, p.key_b) JOIN t o ON o.key IN (p.key_a, p.key_b) AND o.key <> e.key)
+SELECT split, resource_id, count(*) AS pairs, count(DISTINCT e) AS records FROM d JOIN w ON w.key = d.e GROUP BY 1, 2""",
+    "p2_links": f"""
+{_WHO.replace("s AS (SELECT DISTINCT key, h,", "s AS (SELECT DISTINCT key, h, p, k,")},
+x AS (SELECT DISTINCT key, h, p, hi, lo, side, CASE WHEN side = 'train' THEN 'train' WHEN regexp_full_match(k, '(test|testing|tst|te|holdout|heldout)(set)?') THEN 'test' ELSE 'validation' END AS split FROM s WHERE side IS NOT NULL AND (h IS NOT NULL OR p IS NOT NULL)),
+sc AS (SELECT h, side, count(DISTINCT key) AS n FROM x WHERE h IS NOT NULL GROUP BY 1, 2),
+pc AS (SELECT p, hi, lo, side, count(DISTINCT key) AS n FROM x WHERE p IS NOT NULL GROUP BY 1, 2, 3, 4),
+nl AS (SELECT a.p, a.side, sum(b.n) AS n FROM pc a JOIN pc b ON a.side <> b.side AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 10 GROUP BY 1, 2)
+SELECT key, split, x.h AS content_class, CAST(coalesce(sc.n, 0) AS BIGINT) AS same_links, x.p AS print_class, CAST(coalesce(nl.n, 0) AS BIGINT) AS near_links
+FROM x LEFT JOIN sc ON sc.h = x.h AND sc.side <> x.side LEFT JOIN nl ON nl.p = x.p AND nl.side = x.side WHERE sc.n > 0 OR nl.n > 0""",
+    "p6_found": _P6,
+    "p6_items": f"SELECT i.item_id, i.split_name, count(doc_id) AS documents FROM eval_items i LEFT JOIN ({_P6}) f ON f.item_id = i.item_id GROUP BY 1, 2",
 }

@@ -71,3 +71,11 @@ def test_counts_by_split_and_resource(spark):
     c = spark.createDataFrame([("a", "r1", "x", h, None, "train", "", "", ""), ("b", "r2", "x", h, None, "dev", "", "", ""), ("c", "r2", "x", h, None, "test", "", "", "")], CAND)
     got = {(r.split, r.resource_id, r.pairs, r.records) for r in overlap.overlap_counts(c, spark.createDataFrame([], SAMP)).collect()}
     assert got == {("validation", "r2", 1, 1), ("test", "r2", 1, 1)}
+
+
+def test_links_of_copies_are_counted_not_listed(spark):
+    h = "ab" * 32
+    cand = [(f"t{i}", "r", "x", h, "0" * 32, "train", "", "", "") for i in range(7)] + [(f"e{i}", "r", "x", h, "0" * 31 + "1", "test", "", "", "") for i in range(5)]
+    got = overlap.overlap_links(spark.createDataFrame(cand, CAND), spark.createDataFrame([], SAMP)).collect()
+    assert {(r.key[0], r.same_links, r.near_links, r.content_class) for r in got} == {("t", 5, 5, h), ("e", 7, 7, h)} and len(got) == 12
+    assert {r.print_class for r in got} == {"0" * 32, "0" * 31 + "1"}

@@ -16,17 +16,17 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["p2_found", "p6_found"])
+@pytest.mark.parametrize("name", ["p2_counts", "p2_found", "p2_links", "p6_found", "p6_items"])
 def test_query_equals_sql(spark, con, name):
     from quarrystone.llm.queries import QUERIES, SQL
 
     df = QUERIES[name](spark, DIR)
     res = con.execute(SQL[name])
     assert df.columns == [c[0] for c in res.description]
-    assert sorted(map(tuple, df.collect())) == sorted(res.fetchall())
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, res.fetchall()))
 
 
-@pytest.mark.parametrize("name", ["p2_counts", "p4_subset", "p4_coverage", "p6_clean", "p6_items", "p7_mix", "p7_shares", "p8_found", "p8_rates"])
+@pytest.mark.parametrize("name", ["p4_subset", "p4_coverage", "p6_clean", "p7_mix", "p7_shares", "p8_found", "p8_rates"])
 def test_other_queries_give_rows(spark, name):
     from quarrystone.llm.queries import QUERIES
 
