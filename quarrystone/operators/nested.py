@@ -28,20 +28,22 @@ def _member(value: Column, *names: str, kind: str = "variant") -> Column:
     return F.coalesce(*[F.try_variant_get(value, f"$.{n}", kind) for n in names])
 
 
-def _decoded(value: Column) -> Column:
-    """A member that was stored as JSON text inside a string is decoded; others stay."""
-    inner = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
-    return _let(value, inner)
+def _parsed(v: Column) -> Column:
+    """A value that was stored as JSON text inside a string, decoded; null for others."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string")))
 
 
-def _listed(value: Column) -> Column:
-    """A stored list; a single object stands for a list of one; null or absent is an empty list."""
+def _get(value: Column, *names: str) -> Column:
+    """A member of an object, also of one stored as text. The type is looked at only where there is no such member."""
+    return _let(value, lambda v: F.coalesce(_member(v, *names), _member(_parsed(v), *names)))
 
-    def body(v: Column) -> Column:
-        single = F.when(v.isNotNull() & ~F.is_variant_null(v), F.array(v)).otherwise(F.array().cast("array<variant>"))
-        return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), single)
 
-    return _let(value, body)
+def _listed(value: Column) -> Column:
+    """A stored list, also as text; a single object stands for a list of one; null or absent is an empty list."""
+    empty = F.array().cast("array<variant>")
+    single = lambda v: F.when(v.isNull() | F.is_variant_null(v), empty).otherwise(F.array(v))
+    inner = lambda v: _let(F.coalesce(_parsed(v), v), lambda w: F.coalesce(F.try_variant_get(w, "$", "array<variant>"), single(w)))
+    return _let(value, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.when(v.isNull(), empty), inner(v)))
 
 
 def _text(value: Column) -> Column:
@@ -66,27 +68,23 @@ def profile_tree(body: Column) -> Column:
     """
 
     def run(g: Column) -> Column:
-        summary = _decoded(_member(g, "samplingSummary", "sampling_summary"))
-        losses = _listed(_decoded(_member(summary, "coverageLosses", "coverage_losses")))
-        refs = _listed(_decoded(_member(g, "sampleRefs", "sample_refs")))
-        return F.struct(
-            _member(summary, "id", kind="string").alias("run"),
-            F.transform(losses, _loss).alias("losses"),
-            F.transform(refs, lambda r: F.nullif(_member(r, "videoPath", "video_path", kind="string"), F.lit(""))).alias("videos"),
+        summary = _get(g, "samplingSummary", "sampling_summary")
+        refs = _listed(_get(g, "sampleRefs", "sample_refs"))
+        parts = lambda m: F.struct(
+            F.try_variant_get(_get(m, "id"), "$", "string").alias("run"), F.transform(_listed(_get(m, "coverageLosses", "coverage_losses")), _loss).alias("losses")
         )
+        videos = F.transform(refs, lambda r: F.nullif(_member(r, "videoPath", "video_path", kind="string"), F.lit("")))
+        return _let(_let(summary, parts), lambda p: F.struct(p["run"].alias("run"), p["losses"].alias("losses"), videos.alias("videos")))
 
     def snapshot(s: Column) -> Column:
-        skipped = _listed(_decoded(_member(_decoded(_member(s, "sketch")), "skippedPaths", "skipped_paths")))
-        runs = _listed(_decoded(_member(s, "sampling")))
         return F.struct(
             _member(s, "revision", "snapshotRevision", "snapshot_revision", kind="string").alias("revision"),
-            F.transform(skipped, _path).alias("skipped"),
-            F.transform(runs, run).alias("sampling"),
+            F.transform(_listed(_get(_get(s, "sketch"), "skippedPaths", "skipped_paths")), _path).alias("skipped"),
+            F.transform(_listed(_get(s, "sampling")), run).alias("sampling"),
         )
 
     def root(v: Column) -> Column:
-        inner = _decoded(F.coalesce(_member(v, "payload"), v))
-        return F.transform(_listed(_decoded(_member(inner, "snapshots"))), snapshot)
+        return F.transform(_listed(_get(F.coalesce(_member(v, "payload"), v), "snapshots")), snapshot)
 
     # the parser ignores what follows a first value: a sentinel behind the body shows it
     guarded = F.try_parse_json(F.concat(F.lit("["), body, F.lit(",7]")))
