@@ -129,9 +129,9 @@ def readme_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def model_contracts(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    tasks = text.families(t, text.TASKS)
-    m = table(spark, d, "documents").select("doc_id", tasks.alias("tasks"), text.model_modalities(tasks, t).alias("modalities"), "text")
+    # step by step, so that no pattern is tried twice
+    m = table(spark, d, "documents").select("text", text.families(F.col("text"), text.TASKS).alias("tasks"))
+    m = m.withColumn("modalities", text.model_modalities(F.col("tasks"), F.col("text")))
     m = m.withColumn("steps", text.preprocessing(F.col("text"), F.col("modalities")))
     fields = lambda c: F.array_join(F.transform(c, lambda x: x["name"]), "|")
     g = m.select(
@@ -284,6 +284,19 @@ SELECT doc_id, sha256(c) AS clean_hash, text <> c AS changed FROM (
 SELECT series, CASE WHEN len(t) = 0 AND h_label THEN 'image_classification' ELSE array_to_string(t, '|') END AS tasks, CASE WHEN len(u) = 0 AND h_label THEN 'class_label' ELSE array_to_string(u, '|') END AS supervision FROM (
   SELECT *, {_picked(_TASK_RULES)} AS t, {_picked(_SUPERVISION_RULES)} AS u FROM (
     SELECT series, {", ".join(_family("name", f) for f in structure.TOKENS)} FROM ({_FEATURES}) GROUP BY series))""",
+    "model_contracts": f"""
+WITH t AS (SELECT lower(text) AS x FROM documents),
+k AS (SELECT x, {_picked([(f"regexp_matches(x, '{p}')", n) for n, p in text.TASKS.items()])} AS t FROM t),
+m AS (SELECT *, [y for y in [CASE WHEN list_has_any(t, ['image-classification', 'object-detection', 'image-segmentation', 'image-to-text']) OR (len(t) = 0 AND regexp_matches(x, '\\b(?:pixel_values|torchvision|computer vision|vision transformer|image_size)\\b')) THEN 'image' END,
+  CASE WHEN list_has_any(t, ['text-generation', 'text-classification', 'token-classification', 'question-answering']) OR (len(t) = 0 AND regexp_matches(x, '\\b(?:text|tokenizer|input_ids)\\b')) THEN 'text' END,
+  CASE WHEN list_contains(t, 'speech-recognition') OR (len(t) = 0 AND regexp_matches(x, '\\b(?:audio|waveform|sampling_rate)\\b')) THEN 'audio' END] if y IS NOT NULL] AS m0 FROM k),
+n AS (SELECT x, t, CASE WHEN len(m0) > 0 THEN m0 ELSE ['unknown'] END AS m FROM m),
+s AS (SELECT *, {_picked([(f"list_contains(m, '{k}') AND regexp_matches(x, '{p}')", n) for n, (k, p) in text.PREPROCESSING.items()])} AS s FROM n)
+SELECT array_to_string(t, '|') AS tasks, array_to_string(m, '|') AS modalities, array_to_string(CASE WHEN list_contains(m, 'text') AND NOT list_contains(s, 'tokenize') THEN list_append(s, 'tokenize') ELSE s END, '|') AS preprocessing,
+  coalesce(nullif(array_to_string([y for y in ['text', 'image', 'audio'] if list_contains(m, y)], '|'), ''), 'input') AS inputs,
+  coalesce(nullif(concat_ws('|', CASE WHEN list_contains(t, 'text-generation') THEN 'tokens' END, CASE WHEN list_has_any(t, ['text-classification', 'image-classification']) THEN 'logits' END,
+    CASE WHEN list_contains(t, 'object-detection') THEN 'detections' END, CASE WHEN list_contains(t, 'image-segmentation') THEN 'mask' END, CASE WHEN list_has_any(t, ['image-to-text', 'speech-recognition']) THEN 'text' END), ''), 'output') AS outputs, count(*) AS n
+FROM s GROUP BY ALL""",
     "delivered_json_members": f"""
 SELECT name, CASE t WHEN 'NULL' THEN NULL WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'BIGINT' THEN 'integer' WHEN 'UBIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' ELSE {_scalar("v")} END AS kind, count(*) AS n FROM (
   SELECT k AS name, json_type(j, '$."' || k || '"') AS t, j ->> ('$."' || k || '"') AS v FROM (SELECT CAST(data_json AS JSON) AS j, unnest(json_keys(data_json)) AS k FROM job_event_deliveries WHERE json_valid(data_json))) GROUP BY ALL""",
