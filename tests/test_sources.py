@@ -124,3 +124,15 @@ def test_windows(spark):
     df = spark.createDataFrame(rows, "t string, u string").withColumn("t", F.to_timestamp("t"))
     assert sorted(r.n for r in events.windowed_counts(df, "t", "u", "1 day").collect()) == [1, 3]
     assert sorted((r.u, r.n) for r in events.sessions(df, "t", "u", "30 minutes").collect()) == [("u", 1), ("u", 2), ("v", 1)]
+
+
+def test_a_stream_kept_as_a_table(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = events.into_table(stream, str(tmp_path / "out"), str(tmp_path / "c"), "id")
+    q.processAllAvailable()
+    spark.createDataFrame([("b", 2)], rows.schema).write.mode("append").parquet(str(tmp_path / "in"))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 1), ("b", 2)]
