@@ -319,4 +319,14 @@ SELECT resource_id, c AS conflict, CASE WHEN len(f) > 0 AND NOT c THEN 'VERIFIED
   SELECT *, len(f) > 0 AND len(m) > 0 AND len([x for x in f if NOT list_contains(m, x)]) > 0 AS c FROM (
     SELECT resource_id, coalesce(list(DISTINCT seen ORDER BY seen) FILTER (WHERE seen <> 'unknown'), []) AS f, coalesce(list(DISTINCT told) FILTER (WHERE told <> 'UNKNOWN'), []) AS m FROM (
       SELECT resource_id, coalesce(lower(trim(split_name)), 'UNKNOWN') AS told, {_SPLIT} AS seen FROM (SELECT *, {_HIT} AS s FROM image_candidates)) GROUP BY 1))""",
+    "readme_facts": r"""
+SELECT doc_id, left(coalesce([y for y in [trim(regexp_replace(trim(x), '^#+', '')) for x in regexp_split_to_array(text, '\r\n|\r|\n')] if y <> '' AND NOT regexp_matches(y, '^[\[!<]')][1], ''), 500) AS description,
+  trim(regexp_extract(text, '(?:license|licence)\s*[:#-]?\s*([A-Za-z0-9 .+-]{3,40})', 1, 'i')) AS license FROM documents""",
+    "structural_media": f"""
+WITH n AS (SELECT split_part(series, '-', 1) AS family, {", ".join(_family("name", f) for f in ("frame", "track", "identity", "camera"))} FROM ({_FEATURES}) GROUP BY 1),
+c AS (SELECT family, count(*) FILTER (WHERE list_has_any(string_split(replace(lower(array_to_string([regexp_replace(x, '(.)[.][^.]*$', '\\1') for x in string_split(file_path, '/')], '_')), '-', '_'), '_'), [{", ".join(repr(t) for t in names.ANNOTATION_TOKENS)}])) AS a
+  FROM (SELECT DISTINCT split_part(series, '-', 1) AS family, file_path FROM column_facts) GROUP BY 1)
+SELECT family, CASE WHEN h_frame THEN 'image_sequence' ELSE 'independent_image' END AS organisation, CASE WHEN h_frame THEN 'sequence' ELSE 'none' END AS temporal,
+  coalesce(nullif(concat_ws('|', CASE WHEN a > 0 THEN 'image_to_annotation' END, CASE WHEN h_track AND h_frame THEN 'frame_to_track' END, CASE WHEN h_identity AND h_camera THEN 'identity_to_camera' END), ''), 'UNKNOWN') AS relations
+FROM n JOIN c USING (family)""",
 }
