@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.operators.tree_edit import Node, edit_script
 from quarrystone.plans.components import components
+from quarrystone.plans.scans import running_max
 from quarrystone.session import cut
 
 BLOCK = 512
@@ -61,9 +62,11 @@ def _numbered(files: DataFrame) -> DataFrame:
     return blocked.join(heads, ["series", "_b"]).select("series", "file", (F.col("off") + F.row_number().over(within)).alias("at"), "files")
 
 
-def column_states(facts: DataFrame) -> DataFrame:
+def column_states(facts: DataFrame, *more: str) -> DataFrame:
     """Each column of each file with what is last known of it, this file included.
 
+    ``more`` names further columns of ``file_columns`` to carry along.
+
     ``at`` is the number of the file in its series of ``files``; ``run`` numbers the unbroken
     stretches of files that have the column, and knowledge does not pass from one to the next.
     Per column the rows are scanned by blocks: a block's rows are numbered, the blocks' counts and
@@ -87,7 +90,7 @@ def column_states(facts: DataFrame) -> DataFrame:
         f = f.withColumn(f"_l{c}", F.max(k).over(local))
     f = f.withColumn("run", F.col("at") - F.col("_n") - F.col("off"))
     last = {c: F.greatest(F.col(f"_c{c}"), shift(F.col(f"_l{c}"), F.col("off"))) for c in known}
-    return f.select("series", "file", "at", "files", "name", "pos", "types", "nullable", "run", *[F.when(x["run"] == F.col("run"), x["v"]).alias(f"last_{c}") for c, x in last.items()])
+    return f.select("series", "file", "at", "files", "name", "pos", "types", "nullable", "run", *more, *[F.when(x["run"] == F.col("run"), x["v"]).alias(f"last_{c}") for c, x in last.items()])
 
 
 _SIDE = "struct<pos:int,types:string,last_types:string,nullable:boolean,last_nullable:boolean,run:bigint>"
@@ -149,7 +152,10 @@ def _inherited(edits: DataFrame) -> DataFrame:
 
 def drift_steps(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of columns of neighbouring files and the edits (add, delete, rename) between them."""
-    states = cut(column_states(facts))
+    return _steps(cut(column_states(facts)))
+
+
+def _steps(states: DataFrame) -> tuple[DataFrame, DataFrame]:
     files = states.select("series", "at", F.col("file.file_id").alias("file_id")).distinct()
     pairs = cut(_pairs(states))
     return pairs, cut(_edits(pairs, files))
@@ -184,15 +190,26 @@ _WIDEN = "CASE WHEN types IS NULL THEN 'unknown' WHEN types RLIKE 'string|[|]' A
 
 
 def _lineage(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """File columns with the name their line of renames bears last, and their unified type."""
-    cols = cut(file_columns(facts))
-    edits = drift_steps(facts)[1]
-    node = lambda c: F.struct(F.col("series"), F.col(c).alias("name"))
-    edges = edits.where("op = 'rename'").select(node("old_name").alias("a"), node("new_name").alias("b"))
-    groups = components(edges, "a", "b").select("node.series", "node.name", F.col("component.name").alias("line"))
-    lined = cols.join(groups, ["series", "name"], "left").withColumn("line", F.coalesce("line", "name"))
-    per = lined.groupBy("series", "line").agg(
-        F.max(F.struct("file", F.col("name"))).getField("name").alias("column_name"),
+    """File columns with the line they belong to, and the unified type of each line.
+
+    Stretches of files that a rename joins form a chain, which bears its last name. Chains of one
+    last name are one line, as a column that was away for a while is. Only where such a chain
+    still runs when a later one has begun (under another name) it is a line of its own, told
+    apart by the number of its last file, since both stand in the same files.
+    """
+    states = cut(column_states(facts, "raw"))
+    node = lambda c, run: F.struct(F.col("series"), F.col(c).alias("name"), F.col(run).alias("run"))
+    edges = _steps(states)[1].where("op = 'rename'").select(node("old_name", "old_run").alias("a"), node("new_name", "run").alias("b"))
+    groups = components(edges, "a", "b").select("node.series", "node.name", "node.run", F.struct("component.name", "component.run").alias("chain"))
+    own = F.struct("name", "run")
+    chained = states.join(groups, ["series", "name", "run"], "left").withColumn("chain", F.coalesce("chain", own))
+    chains = chained.groupBy("series", "chain").agg(F.max(F.struct("at", "name")).getField("name").alias("last"), F.min("at").alias("begin"), F.max("at").alias("end"))
+    chains = running_max(chains, ["series", "last"], ["end"], {"later": (F.col("begin"), False)}, F.floor(F.col("end") / BLOCK), descending=True)
+    marks = states.groupBy("series").agg(F.max(F.length("name") - F.length(F.replace("name", F.lit("#")))).alias("marks"))  # more of them than any name has
+    apart = F.concat("last", F.repeat(F.lit("#"), F.col("marks") + 1), F.col("end").cast("string"))
+    lines = chains.join(marks, "series").select("series", "chain", F.when(F.col("later") <= F.col("end"), apart).otherwise(F.col("last")).alias("line"))
+    lined = cut(chained.join(lines, ["series", "chain"]).select("series", "file", "name", "raw", "types", "nullable", "line"))
+    per = lined.groupBy("series", F.col("line").alias("column_name")).agg(
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("types", r"\|"))))), "|").alias("types"),
         F.coalesce(F.bool_or("nullable"), F.lit(True)).alias("nullable"),
         F.min("file").getField("file_id").alias("first_file"),
@@ -207,6 +224,7 @@ def _lineage(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def consistent_columns(facts: DataFrame) -> DataFrame:
     """The one column table of each series: last name, widened type, nullability, files, all names.
 
+    A name that comes back after it was renamed is a column of its own beside its successor.
     ``integer`` widens to ``number``, any other mixture to ``string``.
     """
     return _lineage(facts)[1].select("series", "column_name", "unified_type", "nullable", "first_file", "last_file", "n_files", "names")
@@ -220,7 +238,7 @@ def file_projections(facts: DataFrame) -> DataFrame:
     """
     lined, per = _lineage(facts)
     sql = F.element_at(F.create_map(*[F.lit(x) for x in ("integer", "bigint", "number", "double", "boolean", "boolean")]), F.col("unified_type"))
-    expr = F.concat(F.lit("try_cast(`"), F.replace("raw", F.lit("`"), F.lit("``")), F.lit("` as "), F.coalesce(sql, F.lit("string")), F.lit(") as `"), "column_name", F.lit("`"))
-    rows = lined.join(per.select("series", "line", "column_name", "unified_type"), ["series", "line"]).select("series", "file", "column_name", expr.alias("e"))
+    expr = F.concat(F.lit("try_cast(`"), F.replace("raw", F.lit("`"), F.lit("``")), F.lit("` as "), F.coalesce(sql, F.lit("string")), F.lit(") as `"), F.replace("column_name", F.lit("`"), F.lit("``")), F.lit("`"))
+    rows = lined.withColumnRenamed("line", "column_name").join(per.select("series", "column_name", "unified_type"), ["series", "column_name"]).select("series", "file", "column_name", expr.alias("e"))
     out = rows.groupBy("series", "file").agg(F.array_sort(F.collect_set(F.struct("column_name", "e"))).alias("es"))
     return out.select("series", "file.file_id", F.array_join(F.transform("es", lambda x: x["e"]), ", ").alias("projection"))

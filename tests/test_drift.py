@@ -123,3 +123,28 @@ def test_read_drifting_files(spark, tmp_path):
     rows = read_drifting(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).orderBy("ident").collect()
     assert [(r.ident, r.s.n, r.s.k, r.s.t, r.extra) for r in rows] == [(1, "u", 5, None, None), (2, "v", 6, True, "z")]
     assert schema_tree(a.schema).size() == 5
+
+
+def table_of(spark, rows):
+    df = spark.createDataFrame([(n, f, "r", s, q, p, c, t, u, T0, 1, "x", "y") for n, (f, s, q, p, c, t, u) in enumerate(rows)], SCHEMA)
+    cols = {r.column_name: (r.unified_type, r.n_files, r.names) for r in drift.consistent_columns(df).collect()}
+    return cols, {r.file_id: r.projection for r in drift.file_projections(df).collect()}
+
+
+def test_a_name_that_returns_beside_its_successor(spark):
+    i, t = ["integer"], ["string"]
+    rows = [(1, "s", 1, 1, "a", i, True), (2, "s", 2, 1, "b", i, True), (3, "s", 3, 1, "b", i, True), (3, "s", 3, 2, "a", t, True)]
+    cols, got = table_of(spark, rows)
+    assert cols == {"b": ("integer", 3, "a|b"), "a": ("string", 1, "a")}
+    assert got[1] == "try_cast(`a` as bigint) as `b`" and got[3] == "try_cast(`a` as string) as `a`, try_cast(`b` as bigint) as `b`"
+
+
+def test_stretches_of_one_last_name(spark):
+    i, t = ["integer"], ["string"]
+    # away for a file: one column; renamed to a name that another column bore at the same time: two
+    rows = [(1, "s", 1, 1, "n", i, True), (3, "s", 3, 1, "n", i, True), (2, "s", 2, 5, "k", t, True)]
+    assert table_of(spark, rows)[0] == {"n": ("integer", 2, "n"), "k": ("string", 1, "k")}
+    rows = [(1, "s", 1, 1, "n", i, True), (1, "s", 1, 2, "b", t, True), (2, "s", 2, 2, "b", t, True), (3, "s", 3, 2, "n", t, True)]
+    cols, got = table_of(spark, rows)
+    assert cols == {"n": ("string", 3, "b|n"), "n#1": ("integer", 1, "n")}
+    assert got[1] == "try_cast(`b` as string) as `n`, try_cast(`n` as bigint) as `n#1`"
