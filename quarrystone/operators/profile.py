@@ -50,17 +50,17 @@ def observed_columns(long: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, types.combined_type(F.col("labels")).alias("data_type"), types.type_set(F.col("inspected")).alias("type_set"), "nullable", "blank", "rows", names.role(name).alias("role"))
 
 
-def json_members(rows: DataFrame, json: str) -> DataFrame:
+def json_members(rows: DataFrame, json: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """``name, kind`` of every member of the JSON objects in a text column; other values are a member ``value``.
 
     Blank and null rows are no rows; invalid ones give a member null.
     """
-    v = rows.where(F.col(json).isNotNull() & (F.trim(json) != "")).select(F.try_parse_json(json).alias("v"))
+    v = rows.where(F.col(json).isNotNull() & (F.trim(json) != "")).select(*keys, F.try_parse_json(json).alias("v"))
     object_ = F.try_variant_get("v", "$", "map<string,variant>")
     pairs = F.when(F.col("v").isNull(), F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("v").alias("value"))))
     pairs = pairs.when(object_.isNotNull(), F.map_entries(object_)).otherwise(F.array(F.struct(F.lit("value").alias("key"), F.col("v").alias("value"))))
-    m = v.select(F.explode(pairs).alias("p")).select(F.col("p.key").alias("name"), F.col("p.value").alias("x"))
-    return m.select("name", types.variant_type(F.col("x")).alias("kind"), F.coalesce(F.is_variant_null("x"), F.lit(False)).alias("is_null"))
+    m = v.select(*keys, F.explode(pairs).alias("p")).select(*keys, F.col("p.key").alias("name"), F.col("p.value").alias("x"))
+    return m.select(*keys, "name", types.variant_type(F.col("x")).alias("kind"), F.coalesce(F.is_variant_null("x"), F.lit(False)).alias("is_null"))
 
 
 def merged_features(features: DataFrame, keys: list[str], order: Column) -> DataFrame:

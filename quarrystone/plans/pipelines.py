@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions import names, text, types
@@ -13,50 +13,56 @@ from quarrystone.sources import files as listing
 from quarrystone.sources import readers, sinks
 
 # fixed values: what a profile looks at
-SAMPLE_FILES, SAMPLE_ROWS, MOST_TEXT_BYTES = 8, 100, 512 << 10
-
-_FEATURE = "file int, name string, data_type string, role string, nullable boolean, rows bigint"
-
-
-def file_features(spark: SparkSession, path: str, number: int, most_rows: int = SAMPLE_ROWS) -> DataFrame | None:
-    """Features of one file from its first rows; Parquet from its footer; null for metadata and unknown kinds."""
-    low = path.lower()
-    base = low.rsplit("/", 1)[-1]
-    if base in names.METADATA_NAMES:
-        return None
-    if base == "dataset_infos.json":
-        f = readers.manifest_features(spark.read.text(path, wholetext=True))
-        return f.select(F.lit(number).alias("file"), "name", "data_type", "role", F.lit(True).alias("nullable"), F.lit(0).cast("bigint").alias("rows"))
-    if low.endswith(".parquet"):
-        f = readers.parquet_facts(spark, path)
-        return f.select(F.lit(number).alias("file"), "name", "data_type", "role", "nullable", F.least("rows", F.lit(most_rows)).cast("bigint").alias("rows"))
-    if low.endswith(".csv"):
-        head = readers.read_delimited(spark, path).limit(most_rows)
-        seen = profile.observed_columns(profile.long_values(head, head.columns), ["name"])
-    elif low.endswith((".jsonl", ".ndjson")):
-        rows = readers.read_json_lines(spark, path).where("valid").limit(most_rows)
-        seen = readers.json_columns(rows, "line").withColumn("role", names.role(F.col("name")))
-    elif low.endswith(".json"):
-        rows = readers.read_json_document(spark, path).limit(most_rows).select(F.to_json("row").alias("line"))
-        seen = readers.json_columns(rows, "line").withColumn("role", names.role(F.col("name")))
-    else:
-        return None
-    return seen.select(F.lit(number).alias("file"), "name", "data_type", "role", "nullable", F.col("rows").cast("bigint").alias("rows"))
+SAMPLE_ROWS, MOST_TEXT_BYTES = 100, 512 << 10
+
+_FEATURE = "path string, name string, data_type string, role string, nullable boolean, rows bigint"
 
 
-def profile_folder(spark: SparkSession, root: str, most_files: int = SAMPLE_FILES) -> DataFrame:
+def file_features(spark: SparkSession, root: str, paths: list[str], most_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Features of each file, by ``path``, from its first rows; Parquet from its footer.
+
+    The files of one format are read together. Metadata and unknown kinds have no features.
+    """
+    kinds: dict[str, list[str]] = {}
+    for p in paths:
+        base = p.lower().rsplit("/", 1)[-1]
+        if base not in names.METADATA_NAMES:
+            kinds.setdefault("manifest" if base == "dataset_infos.json" else base.rsplit(".", 1)[-1], []).append(p)
+    own = {k: [f"{root}/{p}" for p in v] for k, v in kinds.items()}
+    out = [spark.createDataFrame([], _FEATURE)]
+    key, path = ("path",), listing.source_path(spark, root).alias("path")
+    columns = lambda rows: readers.json_columns(rows, "line", key).withColumn("role", names.role(F.col("name")))
+    if "manifest" in own:
+        f = readers.manifest_features(spark.read.text(own["manifest"], wholetext=True).select(path, "value"), keys=key)
+        out.append(f.withColumns({"nullable": F.lit(True), "rows": F.lit(0)}))
+    if "parquet" in own:
+        f = readers.parquet_features(spark, root, kinds["parquet"])
+        out.append(f.withColumn("rows", F.least("rows", F.lit(most_rows))))
+    if "csv" in own:
+        out.append(profile.observed_columns(readers.delimited_values(spark, root, kinds["csv"], most_rows), ["path", "name"]))
+    if lines := own.get("jsonl", []) + own.get("ndjson", []):
+        rows = spark.read.text(lines).select(path, F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+        rows = rows.where((F.trim("line") != "") & F.try_parse_json("line").isNotNull())
+        out.append(columns(rows.withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("start", "at"))).where(F.col("n") <= most_rows)))
+    if "json" in own:
+        docs = spark.read.text(own["json"], wholetext=True).select(path, F.try_parse_json("value").alias("v"))
+        rows = docs.select("path", F.explode(F.slice(readers.json_rows(F.col("v")), 1, most_rows)).alias("row"))
+        out.append(columns(rows.select("path", F.to_json("row").alias("line"))))
+    return reduce(DataFrame.unionByName, [f.select("path", "name", "data_type", "role", "nullable", F.col("rows").cast("bigint").alias("rows")) for f in out])
+
+
+def profile_folder(spark: SparkSession, root: str) -> DataFrame:
     """One row that profiles the dataset in a folder: nested features, splits, modalities, tasks, score.
 
-    The first ``most_files`` data files in path order are sampled. A folder without data files
-    has no features and is ``unknown``.
+    All data files count, each by its first rows. A folder without data files has no features and
+    is ``unknown``.
     """
     inv = listing.inventory(spark, root)
-    chosen = [r.path for r in inv.where(names.data_file(F.col("path"))).orderBy("path").limit(most_files).collect()]
-    parts = [p for p in (file_features(spark, f"{root.rstrip('/')}/{c}", i) for i, c in enumerate(chosen)) if p is not None]
-    feats = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _FEATURE)
+    chosen = [r.path for r in inv.where(names.data_file(F.col("path"))).orderBy("path").collect()]
+    paths = spark.createDataFrame(list(enumerate(chosen)), "file int, path string")
+    feats = file_features(spark, root.rstrip("/"), chosen).join(paths, "path")
     merged = profile.merged_features(feats.withColumn("k", F.lit(1)), ["k"], F.col("file"))
-    paths = spark.createDataFrame([(i, c) for i, c in enumerate(chosen)], "file int, path string")
-    rows = feats.groupBy("file").agg(F.max("rows").alias("rows")).join(paths, "file")
+    rows = feats.groupBy("path").agg(F.max("rows").alias("rows"))
     splits = rows.groupBy(names.path_split(F.col("path")).alias("split")).agg(F.sum("rows").alias("rows"))
     one = merged.agg(
         F.sort_array(F.collect_list(F.struct("first", "name", "data_type", "role", "nullable"))).alias("features"),

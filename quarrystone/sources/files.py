@@ -20,13 +20,22 @@ def inventory(spark: SparkSession, root: str, glob: str | None = None) -> DataFr
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(root).drop("content")
+    out = files.select(F.expr("1").alias("one"), relative(spark, root, F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    out = out.select("path", "size", "modified")
+    return out.where(~names.ignored(F.col("path")) & ~names.sensitive(F.col("path")) & ~names.unsafe(F.col("path")))
+
+
+def relative(spark: SparkSession, root: str, path: Column) -> Column:
+    """A full path as Spark gives it, relative to the root."""
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
-    plain = F.regexp_replace(F.col("path"), "^file:/+", "/")
     cut = len(full.replace("file:", "").replace("//", "/").rstrip("/")) + 2
-    out = files.select(F.expr("1").alias("one"), plain.alias("p"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    out = out.select(F.substr("p", F.lit(cut)).alias("path"), "size", "modified")
-    return out.where(~names.ignored(F.col("path")) & ~names.sensitive(F.col("path")) & ~names.unsafe(F.col("path")))
+    return F.substr(F.regexp_replace(path, "^file:/+", "/"), F.lit(cut))
+
+
+def source_path(spark: SparkSession, root: str) -> Column:
+    """Path below the root of the file that a row was read from, which Spark gives with escapes."""
+    return relative(spark, root, F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
 
 
 def skip_code(path: Column, size: Column) -> Column:

@@ -7,12 +7,15 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions import types
 from quarrystone.operators.profile import json_members
 from quarrystone.operators.tree_edit import compile_projection, edit_script, schema_tree
+from quarrystone.sources.files import source_path
 
 # fixed values: members that hold the rows of a JSON document, first list wins
 PROFILE_ROWS = ["data", "records", "items", "examples"]
@@ -69,10 +72,10 @@ def read_json_document(spark: SparkSession, path: str, members: list[str] = PROF
     return docs.select(F.explode(json_rows(F.col("v"), members)).alias("row"))
 
 
-def json_columns(rows: DataFrame, text: str) -> DataFrame:
-    """Observed columns of JSON rows held as text: name, label, nullability."""
-    m = json_members(rows, text).where("name is not null")
-    return m.groupBy("name").agg(types.combined_type(F.collect_set("kind")).alias("data_type"), F.bool_or("is_null").alias("nullable"), F.count("*").alias("rows"))
+def json_columns(rows: DataFrame, text: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Observed columns of JSON rows held as text, of each key: name, label, nullability."""
+    m = json_members(rows, text, keys).where("name is not null")
+    return m.groupBy(*keys, "name").agg(types.combined_type(F.collect_set("kind")).alias("data_type"), F.bool_or("is_null").alias("nullable"), F.count("*").alias("rows"))
 
 
 def parquet_facts(spark: SparkSession, path: str) -> DataFrame:
@@ -83,6 +86,57 @@ def parquet_facts(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, physical string, data_type string, role string, nullable boolean, rows bigint")
 
 
+def parquet_features(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """``parquet_facts`` of each of many files: schemas from the footers, all rows counted in one scan.
+
+    A file that is no Parquet file has no features.
+    """
+    found = []
+    for p in paths:
+        try:
+            found.append((p, spark.read.parquet(f"{root}/{p}").schema))
+        except (PySparkException, Py4JJavaError):
+            continue
+    rows = [(p, f.name, *types.field_label(f.name, f.dataType), f.nullable) for p, s in found for f in s.fields]
+    feats = spark.createDataFrame(rows, "path string, name string, data_type string, role string, nullable boolean")
+    if not found:
+        return feats.withColumn("rows", F.lit(0).cast("bigint"))
+    n = spark.read.schema("_none int").parquet(*[f"{root}/{p}" for p, _ in found]).groupBy(source_path(spark, root).alias("path")).agg(F.count("*").alias("rows"))
+    return feats.join(n, "path", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+
+
+def delimited_values(spark: SparkSession, root: str, paths: list[str], most_rows: int) -> DataFrame:
+    """``path, name, value`` of the first rows of many CSV files, read in one scan for each delimiter.
+
+    Headers, delimiters and short rows are taken as by ``read_delimited``.
+    """
+    full = [f"{root}/{p}" for p in paths]
+    path, place = source_path(spark, root).alias("path"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place")
+    heads = spark.read.text(full).select(path, place, "value").where("trim(value) <> ''").groupBy("path").agg(F.min_by("value", "place").alias("value")).collect()
+    width: dict[str, int] = {}
+    files: dict[str, list[str]] = {}
+    for h in heads:
+        sep = detect_delimiter(h.value)
+        n = h.value.count(sep) + 1
+        if h.value.count('"') % 2:  # the header goes on in the next line
+            n = max(n, len(spark.read.csv(f"{root}/{h.path}", sep=sep, multiLine=True, escape='"').columns))
+        width[sep] = max(width.get(sep, 0), n)
+        files.setdefault(sep, []).append(h.path)
+    out = spark.createDataFrame([], "path string, name string, value string")
+    for sep, own in files.items():
+        cells = [f"c{i}" for i in range(width[sep])]
+        df = spark.read.schema(", ".join(f"{c} string" for c in cells)).csv([f"{root}/{p}" for p in own], sep=sep, header=False, mode="PERMISSIVE", multiLine=True, escape='"', nullValue="\u0000", emptyValue="")
+        df = df.select(path, place, F.array(*cells).alias("cells")).withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("place"))).where(F.col("n") <= most_rows + 1)
+        names = []
+        for h in df.where("n = 1").collect():
+            last = max((i for i, c in enumerate(h.cells) if c is not None), default=-1)
+            head = [c or "" for c in h.cells[: last + 1]]
+            names += [(h.path, i, c) for i, c in enumerate(unique_headers([head[0].lstrip("﻿"), *head[1:]] if head else []))]
+        known = spark.createDataFrame(names, "path string, pos int, name string")
+        out = out.unionByName(df.where("n > 1").select("path", F.posexplode("cells").alias("pos", "value")).join(known, ["path", "pos"]).select("path", "name", "value"))
+    return out
+
+
 def read_drifting(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Parquet files whose schemas differ as one table of the last file's schema and the columns gone before it.
 
@@ -103,21 +157,21 @@ def read_drifting(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def manifest_features(docs: DataFrame, text: str = "value") -> DataFrame:
+def manifest_features(docs: DataFrame, text: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
     """Declared features of dataset manifests held as text: the first configuration that has any.
 
     ``name, data_type, role, names`` of each feature; other documents give nothing.
     """
-    v = docs.select(F.try_parse_json(text).alias("v"))
-    configs = v.select(F.try_variant_get("v", "$", "map<string,variant>").alias("m")).where("m is not null")
-    first = configs.select(F.expr("filter(map_entries(m), e -> try_variant_get(e.value, '$.features', 'map<string,variant>') is not null)[0].value").alias("c")).where("c is not null")
-    f = first.select(F.explode(F.try_variant_get("c", "$.features", "map<string,variant>")).alias("name", "d"))
+    v = docs.select(*keys, F.try_parse_json(text).alias("v"))
+    configs = v.select(*keys, F.try_variant_get("v", "$", "map<string,variant>").alias("m")).where("m is not null")
+    first = configs.select(*keys, F.expr("filter(map_entries(m), e -> try_variant_get(e.value, '$.features', 'map<string,variant>') is not null)[0].value").alias("c")).where("c is not null")
+    f = first.select(*keys, F.explode(F.try_variant_get("c", "$.features", "map<string,variant>")).alias("name", "d"))
     kind, dtype = F.try_variant_get("d", "$._type", "string"), F.try_variant_get("d", "$.dtype", "string")
     label = F.when(kind.isin("Image", "Audio", "Video", "ClassLabel"), F.lower(kind)).when((kind == "Value") & (F.trim(dtype) != ""), types.declared_type(dtype)).otherwise("object")
     from quarrystone.functions.names import role
 
     roles = F.when(kind == "ClassLabel", "label").when(kind == "Image", role(F.col("name"))).otherwise("input")
-    return f.select("name", label.alias("data_type"), roles.alias("role"), F.size(F.try_variant_get("d", "$.names", "array<string>")).alias("names"))
+    return f.select(*keys, "name", label.alias("data_type"), roles.alias("role"), F.size(F.try_variant_get("d", "$.names", "array<string>")).alias("names"))
 
 
 def tracking_statistics(spark: SparkSession, path: str) -> DataFrame:

@@ -24,6 +24,23 @@ def test_json_and_parquet_files(spark, tmp_path):
     assert p.task_hints == ["classification"]
 
 
+def test_every_data_file_of_a_folder_counts(spark, tmp_path):
+    (tmp_path / "test").mkdir()
+    for i in range(9):
+        spark.createDataFrame([(i,)], "id bigint").toPandas().to_parquet(tmp_path / "test" / f"part-{i}.parquet")
+    (tmp_path / "train-a b+c%20.csv").write_text("k.x,label\n" + "".join(f"{i},1\n" for i in range(150)))
+    (tmp_path / "train-2.csv").write_text('\ufeff"label"\tn\tn\nu\t2\n\t\n')
+    (tmp_path / "train-3.csv").write_text("label,one\n1,2\n3\n")
+    (tmp_path / "train-4.jsonl").write_text('{"only":true}\n\nbad\n{"only":null}\n')
+    (tmp_path / "train-5.json").write_text('[{"last":1.5},{"last":2}]')
+    (tmp_path / "train-6.csv").write_text("")
+    (tmp_path / "train-7.parquet").write_text("no such thing")
+    p = pipelines.profile_folder(spark, str(tmp_path)).first()
+    got = {f.name: (f.data_type, f.nullable) for f in p.features}
+    assert got == {"id": ("integer", True), "k.x": ("integer", False), "label": ("mixed", True), "n": ("integer", True), "n_2": ("unknown", True), "one": ("integer", True), "only": ("boolean", True), "last": ("number", False)}
+    assert {(s.split, s.rows) for s in p.splits} == {("test", 9), ("train", 100 + 2 + 2 + 2 + 2)} and p.sample_count == 117
+
+
 def test_empty_folder(spark, tmp_path):
     (tmp_path / "notes.xyz").write_text("x")
     p = pipelines.profile_folder(spark, str(tmp_path)).first()
