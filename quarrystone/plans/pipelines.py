@@ -82,9 +82,11 @@ def profile_folder(spark: SparkSession, root: str) -> DataFrame:
 
 
 def repository_texts(spark: SparkSession, root: str) -> DataFrame:
-    """``path, text`` of the readable source files of a model repository; weights and large files are left out."""
-    inv = listing.inventory(spark, root).where(names.source_file(F.col("path")) & ~names.weights(F.col("path")) & (F.col("size") <= MOST_TEXT_BYTES))
-    full = [f"{root.rstrip('/')}/{r.path}" for r in inv.orderBy(names.file_priority(F.col("path")), "size", "path").limit(12).collect()]
+    """``path, text`` of all readable source files of a model repository; weights and large files are left out."""
+    base = names.base_name(F.col("path"))
+    source = names.source_file(F.col("path")) | base.startswith("readme") | base.startswith("license")
+    inv = listing.inventory(spark, root).where(source & ~names.weights(F.col("path")) & (F.col("size") <= MOST_TEXT_BYTES))
+    full = [f"{root.rstrip('/')}/{r.path}" for r in inv.orderBy("path").collect()]
     if not full:
         return spark.createDataFrame([], "path string, text string")
     return spark.read.text(full, wholetext=True).select(F.regexp_replace(F.input_file_name(), "^file:/+", "/").alias("path"), F.col("value").alias("text"))

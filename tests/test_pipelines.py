@@ -58,6 +58,16 @@ def test_model_profile(spark, tmp_path):
     assert [(f.name, f.data_type) for f in m.inputs] == [("image", "image")] and [f.name for f in m.outputs] == ["logits"] and m.completeness == 1.0
 
 
+def test_every_text_of_a_repository_counts(spark, tmp_path):
+    for i in range(13):
+        (tmp_path / f"n{i:02}.txt").write_text("-")
+    (tmp_path / "zz.py").write_text("import torch\n# image classification\n" + "#" * 200)
+    (tmp_path / "LICENSE-MIT").write_text("MIT License")
+    texts = pipelines.repository_texts(spark, str(tmp_path)).withColumn("model", F.lit("m"))
+    m = pipelines.profile_models(texts, ["model"]).first()
+    assert (texts.count(), m.frameworks, m.tasks, m.license) == (15, ["pytorch"], ["image-classification"], "MIT")
+
+
 def test_adaptation(spark, tmp_path):
     data = spark.createDataFrame([("i", 1)], "images string, target int")
     fields = spark.createDataFrame([("m", "pixel_values", "image", True), ("m", "target", "classlabel", True)], "model string, field string, field_type string, required boolean")
