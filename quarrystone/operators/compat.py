@@ -75,6 +75,64 @@ def mapping_dimensions(mapping: DataFrame) -> DataFrame:
     return g.select("dataset", "model", "dimension", "score", status_of(F.col("least")).alias("status"))
 
 
+def field_dimensions(features: DataFrame, fields: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Scores of fields, types and shapes of every dataset with every model, in long form.
+
+    A required field that no feature serves scores 0 where no feature's type would do, else 0.5,
+    and leaves the pair ``unresolved``; an optional one does not count. ``shape`` of features and
+    fields is an array of texts and may be absent. Nothing to compare is unknown, with score 0.5.
+    """
+    none = F.array().cast("array<string>")
+    shape = lambda d: F.coalesce("shape", none) if "shape" in d.columns else none
+    wanted = bounded(fields.select("model", "field", "field_type", F.coalesce("required", F.lit(True)).alias("required"), shape(fields).alias("want")))
+    kinds = bounded(fields.select("field_type").distinct())
+    usable = features.select("dataset", "data_type").distinct().join(kinds, types.type_relation(F.col("data_type"), F.col("field_type")) != "blocked").select("dataset", "field_type").distinct().withColumn("usable", F.lit(True))
+    served = mapping.select("dataset", "model", "field", "name", "relation", "kind")
+    if "shape" in features.columns:
+        served = served.join(features.groupBy("dataset", "name").agg(F.max_by("shape", "pos").alias("have")), ["dataset", "name"], "left")
+    else:
+        served = served.withColumn("have", none)
+    m = features.select("dataset").distinct().join(wanted).join(served, ["dataset", "model", "field"], "left").join(usable, ["dataset", "field_type"], "left")
+    open_ = F.col("name").isNull() & F.col("required")
+    rate = lambda c: F.element_at(F.create_map(*[x for k, v in SCORES.items() for x in (F.lit(k), F.lit(v))]), c)
+    own = F.when(F.col("kind") == "exact", 1.0).when(F.col("name").isNotNull(), 0.75).when(open_ & F.col("usable"), 0.5).when(open_, 0.0)
+    scores = {"input_fields": own, "data_types": rate(F.col("relation")), "shape": F.when(F.col("name").isNotNull(), rate(types.shape_relation(F.coalesce("have", none), F.col("want"))))}
+    parts = F.array(*[F.struct(F.lit(k).alias("dimension"), v.alias("s"), (F.lit(k == "input_fields") & open_ & F.col("usable").isNotNull()).alias("u")) for k, v in scores.items()])
+    g = m.select("dataset", "model", F.explode(parts).alias("x")).groupBy("dataset", "model", "x.dimension")
+    g = g.agg(F.coalesce(F.avg("x.s"), F.lit(0.5)).alias("score"), F.min("x.s").alias("least"), F.bool_or("x.u").alias("unresolved"))
+    return g.select("dataset", "model", "dimension", "score", status_of(F.col("least")).alias("status"), "unresolved")
+
+
+def profile_dimensions(datasets: DataFrame, models: DataFrame) -> DataFrame:
+    """Task, modality, preprocessing, labels, licence and runtime of every dataset with every model.
+
+    ``datasets``: ``dataset, task_hints, modalities, license, has_label, satisfied`` (steps that an
+    adapter vouches for); ``models``: ``model, tasks, modalities, preprocessing, license, frameworks``.
+    """
+    want = bounded(models.select("model", "tasks", F.col("modalities").alias("need"), "preprocessing", F.col("license").alias("model_license"), "frameworks"))
+    none = F.array().cast("array<string>")
+    clean = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(c, none), names.slug), lambda x: x.isNotNull() & (x != "")))
+    lists = lambda c: F.size(F.coalesce(c, none)) > 0
+    steps = clean(F.col("preprocessing"))
+    covered = (F.size(steps) > 0) & (F.size(F.array_except(steps, clean(F.col("satisfied")))) == 0)
+    classifies = F.exists(F.coalesce("tasks", none), lambda t: F.coalesce(names.canonical_task(t).contains("classification"), F.lit(False)))
+    unknown = F.lit(False)
+    for c in ("license", "model_license"):
+        unknown = unknown | F.coalesce(names.slug(F.col(c)), F.lit("")).isin("unknown", "")
+    by_status = lambda s: F.when(s == "compatible", 1.0).when(s == "blocked", 0.0).otherwise(0.5)
+    task, modality = task_dimension(F.col("task_hints"), F.col("tasks")), modality_dimension(F.col("modalities"), F.col("need"))
+    dims = {
+        "task": (task, by_status(task)),
+        "modality": (modality, by_status(modality)),
+        "preprocessing": (F.when(~lists(F.col("preprocessing")) | covered, "compatible").otherwise("adaptable"), F.when(~lists(F.col("preprocessing")) | covered, 1.0).otherwise(0.75)),
+        "labels": (F.when(classifies & ~F.coalesce("has_label", F.lit(False)), "adaptable").otherwise("compatible"), F.when(classifies & ~F.coalesce("has_label", F.lit(False)), 0.5).otherwise(1.0)),
+        "license": (F.when(unknown, "unknown").otherwise("compatible"), F.when(unknown, 0.5).otherwise(1.0)),
+        "runtime": (F.lit("unknown"), F.when(lists(F.col("frameworks")), 0.6).otherwise(0.5)),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("dimension"), score.alias("score"), status.alias("status")) for k, (status, score) in dims.items()])
+    return datasets.join(want).select("dataset", "model", F.explode(rows).alias("x")).select("dataset", "model", "x.dimension", "x.score", "x.status", F.lit(False).alias("unresolved"))
+
+
 def task_dimension(hints: Column, tasks: Column) -> Column:
     """Status of the task dimension from two arrays of task names."""
     a, b = (F.array_distinct(F.filter(F.transform(x, names.canonical_task), lambda t: t != "")) for x in (hints, tasks))
@@ -98,11 +156,13 @@ def missing_modalities(have: Column, need: Column) -> Column:
 def roll_up(dimensions: DataFrame) -> DataFrame:
     """Status and capped mean score of each dataset and model from its dimensions.
 
-    A blocked dimension caps the score at 0.49; an unknown task or modality makes the whole unknown.
+    A blocked dimension caps the score at 0.49; an unknown task or modality, or a required field
+    left ``unresolved``, makes the whole unknown.
     """
+    left = F.coalesce("unresolved", F.lit(False)) if "unresolved" in dimensions.columns else F.lit(False)
     g = dimensions.groupBy("dataset", "model").agg(
         F.bool_or(F.col("status") == "blocked").alias("b"),
-        F.bool_or((F.col("status") == "unknown") & F.col("dimension").isin("task", "modality")).alias("u"),
+        F.bool_or((F.col("status") == "unknown") & F.col("dimension").isin("task", "modality") | left).alias("u"),
         F.bool_or(F.col("status") == "adaptable").alias("a"),
         F.avg("score").alias("mean"),
         F.count("*").alias("dimensions"),

@@ -130,11 +130,16 @@ def profile_models(texts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def compare(features: DataFrame, fields: DataFrame, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Mapping, dimensions and report of datasets against models; ``extra`` adds dimension rows."""
+def compare(features: DataFrame, fields: DataFrame, extra: DataFrame | None = None, datasets: DataFrame | None = None, models: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mapping, dimensions and report of every dataset against every model.
+
+    The profiles of ``datasets`` and ``models`` add what ``compat.profile_dimensions`` compares;
+    without them only fields, types and shapes are. ``extra`` adds dimension rows.
+    """
     mapping = compat.field_mapping(features, fields)
-    dims = compat.mapping_dimensions(mapping)
-    dims = dims.unionByName(extra) if extra is not None else dims
+    dims = compat.field_dimensions(features, fields, mapping)
+    dims = dims.unionByName(compat.profile_dimensions(datasets, models)) if datasets is not None and models is not None else dims
+    dims = dims.unionByName(extra, allowMissingColumns=True) if extra is not None else dims
     return mapping, dims, compat.roll_up(dims)
 
 
@@ -149,7 +154,7 @@ def adapt(data: DataFrame, dataset: str, fields: DataFrame, path: str, kind: str
     plan = compat.field_mapping(pairs, fields).select(F.col("name").alias("source"), F.col("field").alias("target"))
     bad = transform.plan_violations(plan, pairs.select("name", "data_type"), fields)
     if not bad.isEmpty():
-        return bad, compat.roll_up(compat.mapping_dimensions(compat.field_mapping(pairs, fields)))
+        return bad, compare(pairs, fields)[2]
     steps = {r.source: r.target for r in plan.collect()}
     sinks.write_renamed(data, steps, path, kind)
     sinks.write_manifest(spark, f"{path}.manifest", {"dataset": dataset, "plan": steps})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions import names, types
-from quarrystone.operators import admission, compat, delivery, distribution, integrity, metrics, retrieval, sampling, transform
+from quarrystone.operators import admission, compat, delivery, distribution, integrity, metrics, profile, retrieval, sampling, transform
 from quarrystone.operators.drift import known_types, plain_name
 from quarrystone.queries.profiling import _FEATURES, _HIT, _NAME, _SPLIT, _features
 from quarrystone.session import table
@@ -226,6 +226,24 @@ def compat_report(spark: SparkSession, d: str) -> DataFrame:
     return compat.roll_up(dims).withColumn("score", F.round("score", 6))
 
 
+def compat_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """Report of every series with every contract over all nine dimensions.
+
+    Modalities and licence of a series are those of its resource, as delivered. The contracts state no tasks, steps, licences or frameworks, so those count as not given.
+    """
+    none, f = F.array().cast("array<string>"), _features(spark, d)
+    label = (F.col("role") == "label") | names.field_key(F.col("name")).isin("label", "labels", "target", "class")
+    g = f.groupBy(F.col("series").alias("dataset")).agg(F.bool_or(label).alias("has_label"))
+    own = table(spark, d, "column_facts").where("series is not null").groupBy(F.col("series").alias("dataset")).agg(F.min("resource_id").alias("resource_id"))
+    known = own.join(table(spark, d, "resources").select("resource_id", "license", "modalities"), "resource_id").select("dataset", "license", "modalities")
+    data = g.join(known, "dataset", "left").select("dataset", profile.task_hints(none, F.col("has_label")).alias("task_hints"), "modalities", "license", "has_label", none.alias("satisfied"))
+    need = F.create_map(*[x for m, v in MODEL_MODALITIES for x in (F.lit(m), F.array(*map(F.lit, v.split("|"))))])
+    models = _contracts(spark).select("model").distinct().select("model", none.alias("tasks"), F.element_at(need, F.col("model")).alias("modalities"), none.alias("preprocessing"), F.lit("unknown").alias("license"), none.alias("frameworks"))
+    features, fields = _datasets(spark, d), _contracts(spark)
+    dims = compat.field_dimensions(features, fields, compat.field_mapping(features, fields)).unionByName(compat.profile_dimensions(data, models))
+    return compat.roll_up(dims).withColumn("score", F.round("score", 6))
+
+
 def unmatched_fields(spark: SparkSession, d: str) -> DataFrame:
     data, contracts = _datasets(spark, d), _contracts(spark)
     return compat.unmatched(data, contracts, compat.field_mapping(data, contracts))
@@ -304,7 +322,7 @@ def profile_documents(spark: SparkSession, d: str) -> DataFrame:
     feats = types.schema_features(table(spark, d, "documents").schema)
     data = spark.createDataFrame([("documents", n, k, i) for i, (n, k, _, _) in enumerate(feats)], "dataset string, name string, data_type string, pos int")
     fields = spark.createDataFrame([("classifier", "text", "string", True), ("classifier", "label", "classlabel", True), ("counter", "n_chars", "number", True)], "model string, field string, field_type string, required boolean")
-    return compat.roll_up(compat.mapping_dimensions(compat.field_mapping(data, fields)))
+    return compat.roll_up(compat.field_dimensions(data, fields, compat.field_mapping(data, fields)))
 
 
 QUERIES: dict[str, Query] = {
@@ -313,7 +331,7 @@ QUERIES: dict[str, Query] = {
         quota_allocation, stratified_sample, image_samples, sampling_coverage, temporal_slices, value_distribution, multi_field_distribution, claim_status,
         budget_admission, set_prf, label_f1, macro_f1, unknown_rate, profile_consistency, hit_mrr_ndcg, nearest_rank_percentile, fk_violations, unique_violations,
         contiguity, after_end, split_partition_check, closed_members, type_relation_matrix, shape_relation, modality_subset, task_overlap, field_mapping,
-        compat_dimensions, compat_report, unmatched_fields, plan_violations, contract_union, rename_transform, catalog_latest, catalog_listing, catalog_counts,
+        compat_dimensions, compat_report, compat_analysis, unmatched_fields, plan_violations, contract_union, rename_transform, catalog_latest, catalog_listing, catalog_counts,
         topk_files, dedupe_first, idempotent_requests, event_replay, plain_events, event_windows, event_sessions, profile_documents,
     )
 }

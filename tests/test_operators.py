@@ -188,3 +188,26 @@ def test_ranking_by_dot_product(spark):
     for q in (0, 1):
         want = sorted((i for i in vec if i != q), key=lambda i: (-sum(a * b for a, b in zip(vec[q], vec[i])), i))[:5]
         assert [i for _, i in sorted(got[q])] == want
+
+
+def test_every_pair_and_required_field_counts(spark):
+    feats = spark.createDataFrame([("d", "text", "string", 1), ("e", "blob", "object", 1)], "dataset string, name string, data_type string, pos int")
+    fields = spark.createDataFrame([("m", "text", "string", True), ("m", "gone", "image", True), ("n", "text", "string", True), ("n", "other", "string", True), ("o", "text", "string", True), ("o", "extra", "image", False)], "model string, field string, field_type string, required boolean")
+    dims = compat.field_dimensions(feats, fields, compat.field_mapping(feats, fields))
+    got = {(r.dataset, r.model, r.dimension): (r.score, r.status) for r in dims.collect()}
+    assert got["d", "m", "input_fields"] == (0.5, "blocked") and got["d", "n", "input_fields"] == (0.75, "adaptable") and got["d", "o", "input_fields"] == (1.0, "compatible")
+    assert got["e", "m", "data_types"] == (0.5, "unknown") and got["e", "m", "shape"] == (0.5, "unknown") and len(got) == 18
+    report = {(r.dataset, r.model): (r.status, r.dimensions) for r in compat.roll_up(dims).collect()}
+    assert report == {("d", "m"): ("blocked", 3), ("d", "n"): ("unknown", 3), ("d", "o"): ("compatible", 3), **{("e", x): ("blocked", 3) for x in "mno"}}
+    shaped = lambda d, s: d.withColumn("shape", F.array(*map(F.lit, s)))
+    one, want = feats.where("dataset = 'd'"), fields.where("model = 'o'")
+    status = lambda f, w: compat.field_dimensions(f, w, compat.field_mapping(f, w)).where("dimension = 'shape'").first().status
+    assert status(shaped(one, ["8", "x"]), shaped(want, ["8", "y"])) == "blocked" and status(one, shaped(want, ["8"])) == "adaptable"
+
+
+def test_dimensions_of_profiles(spark):
+    data = spark.createDataFrame([("d", ["classification"], ["text"], "MIT", False, ["Tokenize"]), ("e", [], ["image"], None, True, None)], "dataset string, task_hints array<string>, modalities array<string>, license string, has_label boolean, satisfied array<string>")
+    models = spark.createDataFrame([("m", ["text-classification"], ["text"], ["tokenize"], "apache-2.0", ["pytorch"])], "model string, tasks array<string>, modalities array<string>, preprocessing array<string>, license string, frameworks array<string>")
+    got = {(r.dataset, r.dimension): (r.status, r.score) for r in compat.profile_dimensions(data, models).collect()}
+    assert {k: v for (d, k), v in got.items() if d == "d"} == {"task": ("compatible", 1.0), "modality": ("compatible", 1.0), "preprocessing": ("compatible", 1.0), "labels": ("adaptable", 0.5), "license": ("compatible", 1.0), "runtime": ("unknown", 0.6)}
+    assert {k: v for (d, k), v in got.items() if d == "e"} == {"task": ("unknown", 0.5), "modality": ("blocked", 0.0), "preprocessing": ("adaptable", 0.75), "labels": ("compatible", 1.0), "license": ("unknown", 0.5), "runtime": ("unknown", 0.6)}
