@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 # fixed values: what counts as a secret
 SECRET = r"(?i)(authorization\s*:\s*bearer\s+|api[_ -]?key\s*[=:]\s*|sk-[A-Za-z0-9_-]{8,})[^\s\"']+"
+# fixed values: how tasks are named in messages
+TASK_NAMES = {
+    "classification": "分类", "text-classification": "文本分类", "image-classification": "图像分类", "audio-classification": "音频分类", "token-classification": "序列标注",
+    "text-generation": "文本生成", "image-segmentation": "图像分割", "object-detection": "目标检测", "regression": "回归",
+}
 # fixed values: phrases that together name a licence, first match wins
 LICENSE_MARKERS = [
     ("Apache-2.0", ["apache license", "version 2.0"]),
@@ -142,6 +147,24 @@ def model_outputs(tasks: Column) -> Column:
     return F.when(F.size(out) > 0, out).otherwise(F.array(pick("output", "unknown")))
 
 
+def languages(metadata: Column) -> Column:
+    """Languages that dataset metadata, a JSON text, names itself and then in its card, each once."""
+    v, none = F.try_parse_json(metadata), F.array().cast("array<string>")
+    out = []
+    for path in ("$.language", "$.cardData.language"):
+        x = F.try_variant_get(v, path, "variant")
+        items = F.filter(F.try_variant_get(x, "$", "array<variant>"), lambda i: F.schema_of_variant(i) == "STRING")
+        many = F.transform(items, lambda i: F.try_variant_get(i, "$", "string"))
+        out.append(F.coalesce(F.when(F.schema_of_variant(x) == "STRING", F.array(F.try_variant_get(x, "$", "string"))).otherwise(many), none))
+    return F.array_distinct(F.filter(F.concat(*out), lambda t: t != ""))
+
+
+def task_names(tasks: Column) -> Column:
+    """Tasks as messages name them, sorted by the task itself."""
+    known = F.create_map(*[F.lit(x) for kv in TASK_NAMES.items() for x in kv])
+    return F.array_join(F.transform(F.array_sort(F.array_distinct(tasks)), lambda t: F.coalesce(F.element_at(known, t), t)), "、")
+
+
 def json_in_text(text: Column) -> Column:
     """The JSON object in a model's answer: a fenced block, else from the first to the last brace; null if it does not parse."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.functions import text
+from quarrystone.plans.scans import running_sum
+
+# fixed value: characters of documentation that a dataset may show
+MOST_DOCUMENTATION = 8_000
 # fixed values: tokens sought anywhere in a field name
 TOKENS = {
     "bbox": ["bbox", "bounding_box", "boundingbox", "box"],
@@ -89,3 +94,15 @@ def claim(values: Column, conflicted: Column) -> Column:
         F.when(ok, F.array_join(known, "|")).alias("value"),
         F.when(~ok, F.when(conflicted, "CONFLICTING_EVIDENCE").otherwise("NO_EVIDENCE")).alias("reason"),
     )
+
+
+def documentation_budget(docs: DataFrame, keys: list[str], order: str, text_column: str = "text", most_chars: int = MOST_DOCUMENTATION) -> DataFrame:
+    """The redacted excerpts of each key, in order, as far as they fit into a budget of characters.
+
+    The excerpt at the limit is cut there and later ones are left out. ``order`` is a number,
+    unique within its key.
+    """
+    d = docs.withColumn(text_column, text.redact(F.coalesce(text_column, F.lit(""))))
+    d = running_sum(d, keys, [order], F.length(text_column), "_sum", F.floor(F.col(order) / 512))
+    left = F.lit(most_chars) - (F.col("_sum") - F.length(text_column))
+    return d.withColumn("_left", left).where("_left > 0").withColumn(text_column, F.substr(text_column, F.lit(1), F.col("_left").cast("int"))).drop("_sum", "_left")

@@ -97,3 +97,12 @@ def test_conflicts_and_claims(spark):
     assert [r[0] for r in df.select(structure.conflicts(F.col("f"), F.col("m"))).collect()] == [True, False, False, True]
     c = df.select(structure.claim(F.col("f"), structure.conflicts(F.col("f"), F.col("m"))).alias("c")).collect()
     assert [(r.c.status, r.c.reason) for r in c] == [("UNKNOWN", "CONFLICTING_EVIDENCE"), ("VERIFIED", None), ("UNKNOWN", "NO_EVIDENCE"), ("UNKNOWN", "CONFLICTING_EVIDENCE")]
+
+
+def test_languages_task_names_and_documentation_budget(spark):
+    docs = {'{"language":"en","cardData":{"language":["de","en",3,""]}}': ["en", "de"], '{"language":5}': [], "no": [], '{"cardData":{"language":"fr"}}': ["fr"]}
+    assert {d: one(spark, d, text.languages) for d in docs} == docs
+    assert one(spark, ["regression", "other", "classification"], text.task_names, "array<string>") == "分类、other、回归"
+    df = spark.createDataFrame([("a", 1, "xxxx"), ("a", 2, "yyyy"), ("a", 3, "z"), ("b", 1, None), ("b", 2, "w")], "k string, o int, text string")
+    got = structure.documentation_budget(df, ["k"], "o", most_chars=6).collect()
+    assert sorted((r.k, r.o, r.text) for r in got) == [("a", 1, "xxxx"), ("a", 2, "yy"), ("b", 1, ""), ("b", 2, "w")]
