@@ -29,6 +29,18 @@ def column_type_lattice(spark: SparkSession, d: str) -> DataFrame:
     return profile.observed_columns(long, ["name"])
 
 
+def infer_scalar_types_all(spark: SparkSession, d: str) -> DataFrame:
+    """``infer_scalar_types`` over every column of the table."""
+    orders = table(spark, d, "orders")
+    return profile.long_values(orders, orders.columns).groupBy("name", types.scalar_type(F.col("value")).alias("scalar_type")).agg(F.count("*").alias("n"))
+
+
+def column_type_lattice_all(spark: SparkSession, d: str) -> DataFrame:
+    """``column_type_lattice`` over every column of the table."""
+    refs = table(spark, d, "sample_refs")
+    return profile.observed_columns(profile.long_values(refs, refs.columns), ["name"])
+
+
 def json_props_profile(spark: SparkSession, d: str) -> DataFrame:
     m = profile.json_members(table(spark, d, "events"), "props")
     return m.groupBy("name").agg(types.combined_type(F.collect_set("kind")).alias("data_type"), F.bool_or("is_null").alias("nullable"), F.count("*").alias("n"))
@@ -187,7 +199,7 @@ def structural_conflicts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        infer_scalar_types, column_type_lattice, json_props_profile, delivered_json_members, table_schema_features, table_profile, semantic_roles, split_names,
+        infer_scalar_types, column_type_lattice, infer_scalar_types_all, column_type_lattice_all, json_props_profile, delivered_json_members, table_schema_features, table_profile, semantic_roles, split_names,
         array_shapes, feature_merge, split_row_counts, modality_tokens, task_hint_counts, profile_scores, term_families, license_markers, document_licenses,
         secret_redaction, doc_excerpt, readme_facts, model_contracts, inventory_histogram, survey_sketch, snapshot_revisions, resource_ids, structural_flags,
         structural_media, structural_conflicts,

@@ -106,3 +106,13 @@ def test_languages_task_names_and_documentation_budget(spark):
     df = spark.createDataFrame([("a", 1, "xxxx"), ("a", 2, "yyyy"), ("a", 3, "z"), ("b", 1, None), ("b", 2, "w")], "k string, o int, text string")
     got = structure.documentation_budget(df, ["k"], "o", most_chars=6).collect()
     assert sorted((r.k, r.o, r.text) for r in got) == [("a", 1, "xxxx"), ("a", 2, "yy"), ("b", 1, ""), ("b", 2, "w")]
+
+
+def test_types_of_every_column(spark):
+    from quarrystone.queries import all_queries
+
+    d, q = "/root/testdata/sf0.001", all_queries()
+    for name, part, of in (("infer_scalar_types_all", "infer_scalar_types", "orders"), ("column_type_lattice_all", "column_type_lattice", "sample_refs")):
+        full = q[name](spark, d)
+        assert {r.name for r in full.collect()} == set(spark.read.parquet(f"{d}/{of}.parquet").columns)
+        assert q[part](spark, d).exceptAll(full).isEmpty()
