@@ -59,3 +59,32 @@ def test_stream_gives_each_message_once(spark, tmp_path):
     q.stop()
     rows = spark.table("once_out").collect()
     assert sum(r.job_id is not None for r in rows) == 1 and sum(r.job_id is None for r in rows) == 2
+
+
+def test_table_inserts_each_identifier_once_and_grows():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 30_000, 90_000).astype(np.uint64)
+    h, w = delivery.permuted(ids % np.uint64(7), ids)
+    w[ids == 5] = w[ids == 6][0]  # equal remainders under different quotients are different identifiers
+    table, none = delivery.QuotientTable(), pa.nulls(9_000, pa.string())
+    got = np.concatenate([table.insert(h[i : i + 9_000], w[i : i + 9_000], none) for i in range(0, 90_000, 9_000)])
+    assert table.size == len(set(zip(h.tolist(), w.tolist())))
+    assert (table.high[got] == h).all() and (table.low[got] == w).all()
+
+
+def test_equal_hashes_of_long_names_are_no_match(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(delivery, "_text_hash", lambda t: 1)
+    h, w, text = delivery.packed(pa.array(["some name", "Some Name ", "another"]), np.array([1, 1, 1]))
+    assert delivery.QuotientTable().insert(h, w, text).tolist() == [0, 0, 1]
+
+
+def test_plan_has_no_sorted_aggregate(spark):
+    df = spark.createDataFrame([(1, "j", 1, T0, "a", 7)], SCHEMA)
+    plan = delivery.surplus_deliveries(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("MapInArrow") == 2
