@@ -57,11 +57,11 @@ _STRIP = "lower(trim(name, ' ' || chr(9) || chr(10) || chr(13) || chr(65279)))"
 _TYPES = "nullif(array_to_string(list_sort(list_distinct([lower(trim(x)) for x in coalesce(observed_types, []) if x IS NOT NULL AND trim(x) NOT IN ('', 'unknown')])), '|'), '')"
 _P1 = f"""
 WITH RECURSIVE raw AS (
-  SELECT series, file_seq, file_id, name, t, CASE WHEN t IS NOT NULL THEN nullable END AS nu, col_pos AS pos,
+  SELECT series, file_seq, file_id, name, raw_name, t, CASE WHEN t IS NOT NULL THEN nullable END AS nu, col_pos AS pos,
          row_number() OVER (PARTITION BY series, file_seq, file_id, name ORDER BY inspected_at DESC, fact_id DESC) AS rn
-  FROM (SELECT *, {_TYPES} AS t FROM (SELECT * REPLACE ({_STRIP} AS name) FROM column_facts)) WHERE name <> ''),
+  FROM (SELECT *, {_TYPES} AS t FROM (SELECT * REPLACE ({_STRIP} AS name), name AS raw_name FROM column_facts)) WHERE name <> ''),
 files AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY file_seq, file_id) AS idx FROM (SELECT DISTINCT series, file_seq, file_id FROM raw)),
-cols AS (SELECT r.series, idx, r.file_id, name, t, nu, pos, idx - row_number() OVER (PARTITION BY r.series, name ORDER BY idx) AS run FROM raw r JOIN files f USING (series, file_seq, file_id) WHERE rn = 1),
+cols AS (SELECT r.series, idx, r.file_id, name, raw_name, t, nu, pos, idx - row_number() OVER (PARTITION BY r.series, name ORDER BY idx) AS run FROM raw r JOIN files f USING (series, file_seq, file_id) WHERE rn = 1),
 state AS (SELECT *, last_value(t IGNORE NULLS) OVER w AS lt, last_value(nu IGNORE NULLS) OVER w AS ln FROM cols WINDOW w AS (PARTITION BY series, name, run ORDER BY idx)),
 old AS (SELECT s.series, s.idx + 1 AS idx, f.file_id, name, pos, lt, ln, run FROM state s JOIN files f ON f.series = s.series AND f.idx = s.idx + 1),
 new AS (SELECT * FROM state WHERE idx > 1),
@@ -81,6 +81,26 @@ UNION ALL SELECT file_id, 'added', '', name FROM came c WHERE NOT EXISTS (SELECT
 UNION ALL SELECT file_id, 'type_changed', old_name, new_name FROM judged WHERE lt <> t
 UNION ALL SELECT file_id, 'nullable_changed', old_name, new_name FROM judged WHERE before <> nu"""
 
+_LINES = _P1[: _P1.index("inherited AS (")] + """
+chained AS (
+  SELECT DISTINCT c.series, c.name, c.run, c.name AS root, c.run AS root_run FROM cols c WHERE NOT EXISTS (SELECT 1 FROM renames r WHERE r.series = c.series AND r.new_name = c.name AND r.run = c.run)
+  UNION ALL SELECT r.series, r.new_name, r.run, h.root, h.root_run FROM renames r JOIN chained h ON h.series = r.series AND h.name = r.old_name AND h.run = r.old_run),
+member AS (SELECT c.*, root, root_run FROM cols c JOIN chained h ON h.series = c.series AND h.name = c.name AND h.run = c.run),
+chains AS (SELECT series, root, root_run, arg_max(name, idx) AS last, min(idx) AS b, max(idx) AS e FROM member GROUP BY 1, 2, 3),
+marks AS (SELECT series, max(length(name) - length(replace(name, '#', ''))) AS marks FROM cols GROUP BY 1),
+lines AS (
+  SELECT c.series, root, root_run, CASE WHEN min(b) OVER (PARTITION BY c.series, last ORDER BY e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= e THEN last || repeat('#', CAST(marks + 1 AS BIGINT)) || e ELSE last END AS line
+  FROM chains c JOIN marks m ON m.series = c.series),
+lined AS (SELECT m.*, line AS column_name FROM member m JOIN lines l ON l.series = m.series AND l.root = m.root AND l.root_run = m.root_run),
+per AS (
+  SELECT series, column_name, nullif(array_to_string(list_sort(list_distinct(flatten(list(string_split(t, '|')) FILTER (WHERE t IS NOT NULL)))), '|'), '') AS types, coalesce(bool_or(nu), true) AS nullable,
+    arg_min(file_id, idx) AS first_file, arg_max(file_id, idx) AS last_file, count(*) AS n_files, array_to_string(list_sort(list(DISTINCT name)), '|') AS names
+  FROM lined GROUP BY 1, 2),
+typed AS (
+  SELECT *, CASE WHEN types IS NULL THEN 'unknown' WHEN types = 'integer|number' THEN 'number' WHEN types LIKE '%string%' OR types LIKE '%|%' THEN 'string' WHEN types LIKE '%number%' THEN 'number' ELSE types END AS unified_type FROM per)
+"""
+_EXPRESSION = "'try_cast(`' || replace(raw_name, '`', '``') || '` as ' || CASE unified_type WHEN 'integer' THEN 'bigint' WHEN 'number' THEN 'double' WHEN 'boolean' THEN 'boolean' ELSE 'string' END || ') as `' || replace(l.column_name, '`', '``') || '`'"
+
 
 def _plain(x: str) -> str:
     return f"(CASE json_type({x}) WHEN 'VARCHAR' THEN CASE WHEN json_valid({x} ->> '$') THEN CAST({x} ->> '$' AS JSON) END ELSE {x} END)"
@@ -109,6 +129,8 @@ SELECT DISTINCT * FROM (
 
 SQL: dict[str, str] = {
     "p1_found": _P1,
+    "p1_columns": f"{_LINES} SELECT series, column_name, unified_type, nullable, first_file, last_file, n_files, names FROM typed",
+    "p1_projections": f"{_LINES} SELECT l.series, file_id, string_agg({_EXPRESSION}, ', ' ORDER BY l.column_name) AS projection FROM lined l JOIN typed t ON t.series = l.series AND t.column_name = l.column_name GROUP BY l.series, idx, file_id",
     "p3_found": _P3,
     "p1_report": f"SELECT series, change_kind, count(*) AS changes, count(DISTINCT file_id) AS files FROM ({_P1}) JOIN (SELECT DISTINCT series, file_id FROM column_facts) USING (file_id) GROUP BY 1, 2",
     "p3_tables": _P3

@@ -151,12 +151,16 @@ def read_drifting(spark: SparkSession, paths: list[str]) -> DataFrame:
     out = None
     for schema, group in schemas.values():
         script = edit_script(schema_tree(schema), schema_tree(last))
-        lost = [s.old_path for s in script if s.op == "delete" and "." not in s.old_path]
-        part = spark.read.schema(schema).parquet(*group).selectExpr(*compile_projection(script, schema, last), *[f"`{c}`" for c in lost])
+        lost = [s.old.name for s in script if s.op == "delete" and len(s.old_parts) == 1]
+        part = spark.read.schema(schema).parquet(*group).selectExpr(*compile_projection(script, schema, last), *[_quoted(c) for c in lost])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def manifest_features(docs: DataFrame, text: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
     """Declared features of dataset manifests held as text: the first configuration that has any.
 

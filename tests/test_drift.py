@@ -1,6 +1,7 @@
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import types as T
 
 from quarrystone.operators import drift
@@ -65,6 +66,36 @@ def test_against_the_sequential_fold(spark, monkeypatch):
     assert changes(spark, rows) == plain(rows)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_seams_between_ranges(spark, seed):
+    """Series over many ranges, with renames of columns whose types or nullability were told long before."""
+    rng, rows, f = random.Random(seed), [], 0
+    for s in ("big", "a", "b"):
+        cur = {p: rng.choice("abcdef") + str(p) for p in range(1, 5)}
+        for q in range(60 if s == "big" else 7):
+            f += 1
+            for p in list(cur):
+                if rng.random() < 0.15:
+                    cur[p] = rng.choice("abcdef") + str(p)
+            for p, n in cur.items():
+                t = rng.choice([["integer"], ["integer"], ["string"], None, None, None, ["unknown"]])
+                if rng.random() < 0.9:
+                    rows.append((f, s, q, p, n, t, rng.choice([True, False, None, None, None])))
+    rng.shuffle(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    want = plain(rows)
+    try:
+        results = []
+        for ranges in (1, 24):
+            spark.conf.set("spark.sql.shuffle.partitions", ranges)
+            assert changes(spark, rows) == want
+            df = spark.createDataFrame([(n, f, "r", s, q, p, c, t, u, T0, 1, "x", "y") for n, (f, s, q, p, c, t, u) in enumerate(sorted(rows, key=repr))], SCHEMA)
+            results.append((sorted(map(tuple, drift.consistent_columns(df).collect())), sorted(map(tuple, drift.file_projections(df).collect()))))
+        assert results[0] == results[1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_nullability_follows_a_chain_of_renames(spark):
     i = ["integer"]
     rows = [(1, "s", 1, 1, "a", i, True), (2, "s", 2, 1, "b", i, None), (3, "s", 3, 1, "c", i, None), (4, "s", 4, 1, "d", i, None), (5, "s", 5, 1, "d", i, False)]
@@ -148,3 +179,66 @@ def test_stretches_of_one_last_name(spark):
     cols, got = table_of(spark, rows)
     assert cols == {"n": ("string", 3, "b|n"), "n#1": ("integer", 1, "n")}
     assert got[1] == "try_cast(`b` as string) as `n`, try_cast(`n` as bigint) as `n#1`"
+
+
+def test_members_of_arrays_maps_and_null_structs_by_name(spark, tmp_path):
+    a = spark.createDataFrame(
+        [([(1, 2)], {"k": (3, 4)}, None, (5, "u"), 7), (None, None, None, None, 8)],
+        "xs array<struct<x:int,y:int>>, m map<string,struct<p:int,q:int>>, gone struct<z:int>, `s.t` struct<`a.b`:int,`o'c`:string>, a int",
+    )
+    b = spark.createDataFrame(
+        [([(9, 8, 7)], {"k": (6, 5)}, (4, "w"), 3, 2)], "xs array<struct<y:bigint,x:bigint,z:int>>, m map<string,struct<q:int,p:int>>, `s.t` struct<`a.b`:bigint,`o'c`:string>, b int, a int"
+    )
+    a.write.parquet(str(tmp_path / "a"))
+    b.write.parquet(str(tmp_path / "b"))
+    rows = read_drifting(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).orderBy("a").collect()
+    assert rows[0].xs is not None and [r.a for r in rows] == [2, 7, 8]
+    seven, eight = rows[1], rows[2]
+    assert (seven.xs[0].x, seven.xs[0].y, seven.xs[0].z) == (1, 2, None)
+    assert (seven.m["k"].p, seven.m["k"].q) == (3, 4) and seven["s.t"]["a.b"] == 5 and seven["s.t"]["o'c"] == "u"
+    assert eight.xs is None and eight.m is None and eight["s.t"] is None and eight.gone is None
+
+
+def test_swapped_names_are_no_rename():
+    old = Node("", None, None, [Node("a", "int", 1), Node("b", "int", 2)])
+    new = Node("", None, None, [Node("b", "int", 1), Node("a", "int", 2)])
+    assert {(e.op, e.old_path, e.new_path) for e in edit_script(old, new)} == {("keep", "a", "a"), ("keep", "b", "b")}
+
+
+def test_a_moved_subtree_is_one_move():
+    part = lambda at: Node("s", "struct", at, [Node("x", "int", 1), Node("y", "int", 2)])
+    old = Node("", None, None, [Node("o", "struct", 1, [part(1)])])
+    new = Node("", None, None, [Node("o", "struct", 1, []), part(2)])
+    assert [(e.op, e.old_path, e.new_path) for e in edit_script(old, new)] == [("keep", "o", "o"), ("move", "o.s", "s")]
+
+
+def test_four_thousand_renames_are_fast():
+    import time
+
+    make = lambda prefix: Node("", None, None, [Node(f"{prefix}{i}", "int", i) for i in range(4000)])
+    began = time.time()
+    steps = edit_script(make("a"), make("b"))
+    assert {e.op for e in steps} == {"rename"} and len(steps) == 4000 and time.time() - began < 1
+
+
+def test_level_scripts_equal_edit_scripts():
+    import numpy as np
+
+    from quarrystone.operators.tree_edit import Level, level_scripts
+
+    rng = random.Random(9)
+    sides, want = ([], []), []
+    for pair in range(80):
+        trees = []
+        for side, pool in enumerate(("abcde", "cdefg")):
+            nodes = [Node(n, rng.choice(["0", "1", None]), p) for p, n in enumerate(rng.sample(pool, rng.randrange(0, 6)))]
+            sides[side].extend((pair, ord(x.name), x.position, -1 if x.kind is None else int(x.kind)) for x in nodes)
+            trees.append(Node("", children=nodes))
+        want += [(pair, e.op, e.old_path, e.new_path) for e in edit_script(*trees) if e.op != "move"]
+        want += [(pair, op, *x) for e in edit_script(*trees) if e.op == "move" for op, x in (("delete", (e.old_path, "")), ("add", ("", e.new_path)))]
+    old, new = (Level(*[np.array(c) for c in zip(*s)]) for s in sides)
+    got = []
+    for op, (a, b) in level_scripts(old, new).items():
+        for k in range(max(len(a), len(b))):
+            got.append((int(old.pair[a[k]] if len(a) else new.pair[b[k]]), op, chr(old.name[a[k]]) if len(a) else "", chr(new.name[b[k]]) if len(b) else ""))
+    assert sorted(got) == sorted(want)
