@@ -3,8 +3,9 @@
 The n-grams of the test items go to every task as one sorted array of hashes with the n-grams
 behind them. The corpus is scanned as bytes: word bounds, word hashes and window hashes are
 computed for whole batches at once, and only windows whose hash is in the set are compared word
-by word, so a reported hit is exact. The set is broadcast in blocks of a fixed most size, so a
-larger test set means more passes, never a larger broadcast.
+by word, so a reported hit is exact. Only a set of bounded size is broadcast like this; of a larger
+one the tasks get a bit map of fixed size, and the windows it lets through are joined with the
+n-grams by hash and words. Either way the corpus is scanned once.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarrystone.session import cut
+
 WORDS = 10
 MOST_ITEM_BYTES = 2 << 20  # of test text in one broadcast block; about 100 MB with its n-grams
 SLICE_BYTES = 2 << 20
+MAP_BITS = 27  # of the bit map of a larger test set: 16 MB
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BINV = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -30,7 +34,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = True
-_ODD = re.compile("[Kİ]")  # the two non-ASCII letters whose lower case holds an ASCII letter
+_ODD = re.compile("[\u212a\u0130]")  # the two non-ASCII letters whose lower case holds an ASCII letter
 
 
 def words(text: str) -> list[str]:
@@ -132,13 +136,22 @@ def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def scan_texts(texts: pa.Array, grams: Grams, scan: Scanner) -> Iterator[tuple[int, int, int, list[int]]]:
-    """Verified hits as (row, first byte, end byte, items) in the lower-cased text of the row."""
+    """Verified hits as (row, first byte, end byte, items); bytes are those of the stored text."""
+    for row, first, end, w, text in _hits(texts, grams, scan):
+        if items := grams.of[w].get(text):
+            yield row, first, end, items
+
+
+def _hits(texts: pa.Array, grams: Grams, scan: Scanner) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """Windows whose hash is in the set as (row, first byte, end byte, hash, words)."""
+    stored = texts
     odd = [i for i, t in enumerate(texts.to_pylist()) if t and _ODD.search(t)] if _has_odd(texts) else []
     if odd:
         rows = texts.to_pylist()
         for i in odd:
             rows[i] = rows[i].replace("K", "k").replace("İ", "i̇")
         texts = pa.array(rows, pa.string())
+    moved = set(odd)
     texts = texts.cast(pa.large_string())
     n = len(texts)
     _, off, buf = texts.buffers()
@@ -158,33 +171,81 @@ def scan_texts(texts: pa.Array, grams: Grams, scan: Scanner) -> Iterator[tuple[i
         for k, r in zip(hit[same], row[same]):
             raw = data[start[k] : end[k + grams.n - 1]]
             text = b" ".join(re.findall(rb"[a-z0-9]+", raw.tobytes()))
-            if items := grams.of[int(w[k])].get(text):
-                yield i + int(r), int(start[k] - bounds[r]), int(end[k + grams.n - 1] - bounds[r]), items
+            a, b = int(start[k] - bounds[r]), int(end[k + grams.n - 1] - bounds[r])
+            if i + int(r) in moved:
+                a, b = _stored_span(stored[i + int(r)].as_py(), a, b)
+            yield i + int(r), a, b, int(w[k]), text
+
+
+def _stored_span(text: str, first: int, end: int) -> tuple[int, int]:
+    """The bytes of a text that stand behind bytes of its scanned form, in which two letters have other lengths."""
+    shift, out = 0, [first, end]
+    for m in _ODD.finditer(text):
+        was = len(m.group().encode())
+        now = 1 if m.group() == "\u212a" else 3
+        at = len(text[: m.start()].encode())  # in the stored text
+        for k, edge in enumerate((first, end)):
+            if edge + shift >= at + now:  # behind the letter
+                out[k] = edge + shift + was - now
+            elif edge + shift > at:  # inside it
+                out[k] = at + was * k
+        shift += was - now
+    return out[0], out[1]
 
 
 def _has_odd(texts: pa.Array) -> bool:
     return bool(pc.any(pc.match_substring(texts, "K")).as_py() or pc.any(pc.match_substring(texts, "İ")).as_py())
 
 
-def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The test items in blocks of bounded size."""
+def _small_set(items: DataFrame, item_id: str, text: str) -> Grams | None:
+    """The n-grams of all items; None if their text is larger than ``MOST_ITEM_BYTES``."""
     rows = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(text).alias("t")).distinct()
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = -(-total // MOST_ITEM_BYTES)
-    for b in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b)
-        yield [(r.i, r.t) for r in part.collect()]
+    return Grams([(r.i, r.t) for r in rows.collect()]) if total <= MOST_ITEM_BYTES else None
+
+
+def _corpus(documents: DataFrame) -> DataFrame:
+    return documents.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
+def _item_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = Grams([(item, text)])
+            rows = [(np.uint64(w).view(np.int64), g.decode()) for w, grams in own.of.items() for g in grams]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([item] * len(rows), pa.int64())], names=["hash", "words", "item_id"])
+
+
+class _Marked(Grams):
+    """A bit map of n-gram hashes in place of the n-grams."""
 
+    def __init__(self, words: dict[int, int]) -> None:
+        self.n, self.map = WORDS, np.zeros(1 << (MAP_BITS - 5), np.uint32)
+        self.map[list(words)] = list(words.values())
+
+    def hits(self, w: np.ndarray) -> np.ndarray:
+        at = w >> np.uint64(64 - MAP_BITS)
+        return np.flatnonzero((self.map[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1))
+
+
+def _marked_windows(batches: Iterator[pa.RecordBatch], marked: _Marked) -> Iterator[pa.RecordBatch]:
+    scan = Scanner(marked.n)
+    for batch in batches:
+        rows = list(_hits(batch.column(1), marked, scan))
+        ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(zip(*[(a, b, int(np.uint64(w).view(np.int64)), t.decode()) for _, a, b, w, t in rows]) if rows else [()] * 4, kinds)]], names=["doc_id", "first", "end", "hash", "words"])
 
-def _scan(documents: DataFrame, items: DataFrame, kernel, schema: str, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    sc = documents.sparkSession.sparkContext
-    rows = documents.where("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    out = None
-    for block in _blocks(items, item_id, text):
-        grams = sc.broadcast(Grams(block))
-        part = rows.mapInArrow(lambda batches, g=grams: kernel(batches, g.value), schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else documents.sparkSession.createDataFrame([], schema)
+
+def _joined_hits(documents: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """``doc_id, first, end, item_id`` of every hit of a test set of any size."""
+    rows = items.where(F.col(text).isNotNull() & F.col(item_id).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(text).alias("t")).distinct()
+    grams = cut(rows.mapInArrow(_item_grams, "hash bigint, words string, item_id bigint").distinct())
+    at = F.shiftrightunsigned("hash", 64 - MAP_BITS)
+    bits = grams.select(at.alias("at")).groupBy(F.shiftright("at", 5).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 31 as int)))").alias("bits"))
+    marked = documents.sparkSession.sparkContext.broadcast(_Marked({r.word: r.bits for r in bits.toLocalIterator()}))  # at most 2 ** MAP_BITS bits
+    hits = _corpus(documents).mapInArrow(lambda b: _marked_windows(b, marked.value), "doc_id bigint, first bigint, end bigint, hash bigint, words string")
+    return hits.join(grams, ["hash", "words"]).select("doc_id", "first", "end", "item_id")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], grams: Grams) -> Iterator[pa.RecordBatch]:
@@ -202,52 +263,84 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     row; items that share a passage are all named. Memory does not depend on the longest text
     beyond that text itself.
     """
-    return _scan(documents, items, _pairs, "doc_id bigint, item_id bigint").distinct()
+    grams = _small_set(items, "item_id", "text")
+    if grams is None:
+        return _joined_hits(documents, items).select("doc_id", "item_id").distinct()
+    held = documents.sparkSession.sparkContext.broadcast(grams)
+    return _corpus(documents).mapInArrow(lambda b: _pairs(b, held.value), "doc_id bigint, item_id bigint").distinct()
 
 
-def _spans(batches: Iterator[pa.RecordBatch], grams: Grams) -> Iterator[pa.RecordBatch]:
+def _cut_out(batches: Iterator[pa.RecordBatch], grams: Grams, at: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """The batches without leaked passages (in column ``at``) or without the rows that hold any; the last column is replaced by the bytes removed."""
     scan = Scanner(grams.n)
     for batch in batches:
-        spans: dict[int, list[list[int]]] = {}
-        for r, a, b, _ in scan_texts(batch.column(1), grams, scan):
+        texts, spans = batch.column(at), {}
+        for r, a, b, _ in scan_texts(texts.fill_null(""), grams, scan):
             held = spans.setdefault(r, [])
             if held and a <= held[-1][1]:
                 held[-1][1] = max(b, held[-1][1])
             else:
                 held.append([a, b])
         rows = sorted(spans)
-        ids = batch.column(0).take(pa.array(rows, pa.int64()))
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([ids, pa.array([[{"first": a, "end": b} for a, b in spans[r]] for r in rows], kind)], names=["doc_id", "spans"])
+        mask = np.zeros(len(batch), bool)
+        mask[rows] = True
+        if whole:
+            yield batch.filter(pa.array(~mask))
+            continue
+        removed = np.zeros(len(batch), np.int64)
+        kept = []
+        for r in rows:
+            kept.append(_without(texts[r].as_py(), spans[r]))
+            removed[r] = sum(b - a for a, b in spans[r])
+        cols = list(batch.columns)
+        cols[at] = pc.replace_with_mask(texts, pa.array(mask), pa.array(kept, texts.type)) if rows else texts
+        cols[-1] = pa.array(removed)
+        yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
 
-_SPANS = "doc_id bigint, spans array<struct<first:bigint,end:bigint>>"
+def _without(text: str, spans: list[list[int]]) -> str:
+    raw, at, kept = text.encode(), 0, []
+    for a, b in spans:
+        kept.append(raw[at:a])
+        at = b
+    return b"".join([*kept, raw[at:]]).decode()
 
 
 @F.pandas_udf(T.StringType())
-def _without(texts, spans):  # noqa: ANN001, ANN202
+def _without_spans(texts, spans):  # noqa: ANN001, ANN202
     out = []
     for t, ss in zip(texts, spans):
-        if t is not None and ss is not None and len(ss):
-            raw, at, kept = t.replace("K", "k").replace("İ", "i̇").encode(), 0, []
-            for s in sorted(ss, key=lambda s: s["first"]):
-                kept.append(raw[at : max(at, s["first"])])
-                at = max(at, s["end"])
-            t = b"".join([*kept, raw[at:]]).decode(errors="ignore")
-        out.append(t)
+        if t is None or ss is None:
+            out.append(t)
+            continue
+        merged: list[list[int]] = []
+        for a, b in sorted((x["first"], x["end"]) for x in ss):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        out.append(_without(t, merged))
     return pd.Series(out, dtype="object")
 
 
 def without_leaks(documents: DataFrame, items: DataFrame, whole_documents: bool = False) -> DataFrame:
     """The corpus without leaked passages, or without the documents that hold any.
 
-    Adds ``removed_bytes`` (0 where nothing was found), in place of a column of that name. All columns and rows with null texts stay.
+    Adds ``removed_bytes`` (0 where nothing was found), in place of a column of that name; rows
+    with null texts stay, what is kept of a text is unchanged. The passages are cut out where they
+    are found, so the corpus is not moved; only with a test set too large to be broadcast are
+    documents joined with their passages, by ``doc_id``.
     """
-    spans = _scan(documents, items, _spans, _SPANS).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("__spans"))
+    names = [c for c in documents.columns if c != "removed_bytes"]
+    rows = documents.select(*[F.col(f"`{c}`") for c in names], F.lit(0).cast("bigint").alias("removed_bytes"))
+    grams = _small_set(items, "item_id", "text")
+    if grams is not None:
+        held = documents.sparkSession.sparkContext.broadcast(grams)
+        return rows.mapInArrow(lambda b: _cut_out(b, held.value, names.index("text"), whole_documents), rows.schema)
+    hits = _joined_hits(documents, items)
     if whole_documents:
-        return documents.join(spans.select("doc_id"), "doc_id", "left_anti")
-    joined = documents.drop("removed_bytes").join(spans, "doc_id", "left")
-    joined = joined.withColumn("__clean", F.when(F.col("__spans").isNotNull(), _without("text", "__spans")).otherwise(F.col("text")))
+        return rows.join(hits.select("doc_id").distinct(), "doc_id", "left_anti")
+    spans = hits.groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("__spans"))
+    clean = rows.join(spans, "doc_id", "left").withColumn("__clean", F.when(F.col("__spans").isNotNull() & F.col("text").isNotNull(), _without_spans("text", "__spans")).otherwise(F.col("text")))
     size = lambda c: F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint")
-    kept = [F.col("__clean").alias("text") if c == "text" else F.col(c) for c in documents.columns if c != "removed_bytes"]
-    return joined.select(*kept, (size("text") - size("__clean")).alias("removed_bytes"))
+    return clean.select(*[F.col("__clean").alias("text") if c == "text" else F.col(f"`{c}`") for c in names], (size("text") - size("__clean")).alias("removed_bytes"))

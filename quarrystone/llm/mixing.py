@@ -26,7 +26,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECE = 1 << 18
 _BREAK = re.compile(r"(?<=\S)\n(?=\S)")
-BUCKETS = 4096
+BUCKETS, BUCKET_ROWS = 4096, 50_000  # least number of key buckets, and about the most rows in one
+TOLERANCE = 0.002  # of a source's budget that may stay unfilled while documents that fit are left
 SEED = 42
 MOST_TARGETS = 10_000
 
@@ -93,14 +94,36 @@ def plan_budgets(targets: list[tuple[str, float, int]], held: dict[str, int], to
     return total, {s: min(int(total * share / whole), m * held[s]) for s, share, m in live}
 
 
+def _stops(keyed: DataFrame, rests: dict[str, int], behind: dict[str, tuple[float, int]], buckets: int) -> dict[str, tuple[float | None, int | None, int]]:
+    """Per source the first document in key order that does not fit, and the tokens of those before it.
+
+    Documents larger than the rest are passed over, as are those up to ``behind``. No document
+    where all the others fit.
+    """
+    spark = keyed.sparkSession
+    plan = spark.createDataFrame([(s, r, *behind.get(s, (-1.0, 0))) for s, r in rests.items()], "source string, rest bigint, from_key double, from_id bigint")
+    open_ = keyed.join(plan, "source").where("tokens <= rest and (key > from_key or (key = from_key and doc_id > from_id))")
+    open_ = open_.withColumn("bucket", F.floor(F.lit(buckets) * F.col("key") / (F.col("key") + 1)))
+    sums = open_.groupBy("source", "bucket").agg(F.sum("tokens").alias("sum"), F.max("rest").alias("rest"))
+    before = F.sum("sum").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("before", F.coalesce(before, F.lit(0)))
+    edge = sums.where("before <= rest and before + sum > rest").drop("rest", "sum")
+    run = F.sum("tokens").over(Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    inside = open_.join(edge, ["source", "bucket"]).withColumn("run", F.col("before") + run)
+    stop = inside.where("run > rest").groupBy("source").agg(F.min(F.struct("key", "doc_id", (F.col("run") - F.col("tokens")).alias("used"))).alias("s"))
+    total = sums.groupBy("source").agg(F.sum("sum").alias("all"))
+    rows = total.join(stop, "source", "left").select("source", "s.key", "s.doc_id", F.coalesce("s.used", "all").alias("used")).collect()
+    return {r.source: (r.key, r.doc_id, r.used) for r in rows}
+
+
 def mixture(documents: DataFrame, mix_targets: DataFrame, tokenizer: str = TOKENIZER, total: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Chosen documents ``doc_id, source, repeats, tokens`` and the shares ``source, ...`` reached.
 
     Every document of a source is taken the same number of whole times, and some once more. No
-    source exceeds its budget and none falls short of it by as much as one document's tokens.
-    Documents without text, tokens or a wanted source are not chosen. Sources are compared
-    without case and surrounding blanks; targets that name one source twice are added up, with
-    the larger number of repeats.
+    source exceeds its budget; what stays unfilled is at most ``TOLERANCE`` of the budget or less
+    than the smallest document left. Documents without text, tokens or a wanted source are not
+    chosen. Sources are compared without case and surrounding blanks; targets that name one source
+    twice are added up, with the larger number of repeats.
     """
     docs = cut(counted(documents, tokenizer).where("tokens > 0"))
     wanted = mix_targets.where("source is not null").groupBy(plain_source(F.col("source")).alias("source"))
@@ -110,24 +133,37 @@ def mixture(documents: DataFrame, mix_targets: DataFrame, tokenizer: str = TOKEN
     spark = documents.sparkSession
     names = [w.source for w in wanted]
     ours = docs.where(F.col("source").isin(names))
-    held = {r.source: r.tokens for r in ours.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
+    counts = {r.source: (r.tokens, r.rows) for r in ours.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).collect()}
+    held = {s: tokens for s, (tokens, _) in counts.items()}
     size, budget = plan_budgets([(w.source, w.share, w.most) for w in wanted], held, total)
-    rows = [(s, b // held[s], b - b // held[s] * held[s]) for s, b in budget.items()]
-    plan = spark.createDataFrame(rows, "source string, epochs bigint, rest bigint")
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) + 0.5) / float(1 << 53)
     keyed = ours.withColumn("key", -F.log(u) / quality_weight())
-    keyed = keyed.withColumn("bucket", F.floor(F.lit(BUCKETS) * F.col("key") / (F.col("key") + 1)))
-    sums = keyed.groupBy("source", "bucket").agg(F.sum("tokens").alias("sum"))
-    before = F.sum("sum").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.withColumn("before", F.coalesce(before, F.lit(0)))
-    placed = keyed.join(plan, "source").join(sums, ["source", "bucket"])
-    inside = placed.where("before + sum <= rest").withColumn("more", F.lit(1))
-    edge = placed.where("before < rest and before + sum > rest")
-    run = F.sum("tokens").over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    edge = edge.withColumn("more", F.when(F.col("before") + run <= F.col("rest"), 1).otherwise(0))
-    beyond = placed.where("before >= rest").withColumn("more", F.lit(0))
-    cols = ["doc_id", "source", (F.col("epochs") + F.col("more")).cast("bigint").alias("repeats"), "tokens"]
-    chosen = inside.select(cols).unionByName(edge.select(cols)).unionByName(beyond.select(cols)).where("repeats > 0")
+    buckets = max([BUCKETS, *(rows // BUCKET_ROWS for _, rows in counts.values())])
+    rests = {s: b - b // held[s] * held[s] for s, b in budget.items()}
+    left = {s: r for s, r in rests.items() if r > 0}
+    behind: dict[str, tuple[float, int]] = {}
+    spans: dict[str, list] = {s: [] for s in budget}
+    while left:
+        found = _stops(keyed, left, behind, buckets)
+        for s in list(left):
+            if s not in found:  # nothing that fits is left
+                del left[s]
+                continue
+            key, doc, used = found[s]
+            spans[s].append((*behind.get(s, (-1.0, 0)), key, doc, left[s]))
+            left[s] -= used
+            if key is None or left[s] <= TOLERANCE * budget[s]:
+                del left[s]
+            else:
+                behind[s] = (key, doc)
+    rows = [(s, b // held[s], spans[s]) for s, b in budget.items()]
+    span = "struct<from_key:double,from_id:bigint,to_key:double,to_id:bigint,most:bigint>"
+    plan = spark.createDataFrame(rows, f"source string, epochs bigint, spans array<{span}>")
+    key, doc = F.col("key"), F.col("doc_id")
+    after = lambda k, d: (key > k) | ((key == k) & (doc > d))
+    inside = lambda x: (F.col("tokens") <= x["most"]) & after(x["from_key"], x["from_id"]) & (x["to_key"].isNull() | (key < x["to_key"]) | ((key == x["to_key"]) & (doc < x["to_id"])))
+    more = F.exists("spans", inside).cast("bigint")
+    chosen = keyed.join(plan, "source").select("doc_id", "source", (F.col("epochs") + more).alias("repeats"), "tokens").where("repeats > 0")
     goals = spark.createDataFrame([(w.source, float(w.share), int(w.most), held.get(w.source, 0), budget.get(w.source, 0)) for w in wanted], "source string, target_share double, max_repeats int, held_tokens bigint, budget_tokens bigint")
     got = chosen.groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.col("repeats") * F.col("tokens")).alias("mixed_tokens"), F.max("repeats").alias("repeats"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)

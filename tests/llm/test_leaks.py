@@ -76,3 +76,35 @@ def test_removal(spark):
     assert (out[1].text, out[1].removed_bytes, out[1].spans) == ("keep, ! end", 19, 1)
     assert (out[2].text, out[2].removed_bytes, out[3].text) == ("clean é", 0, None)
     assert {r.doc_id for r in leaks.without_leaks(d, e, whole_documents=True).collect()} == {2, 3}
+
+
+def test_kept_letters_stay_as_they_are(spark):
+    ten = " ".join("abcdefghij")
+    text = f"İ 300 \u212a {ten} 5 \u212a İx {ten.upper().replace('H', 'H \u212a')} İ"
+    item = f"{ten} 5"
+    d = spark.createDataFrame([(1, text, 0, 0), (2, "\u212a İ", 0, 0)], DOCS)
+    out = {r.doc_id: r.text for r in leaks.without_leaks(d, spark.createDataFrame([(1, item, 0)], ITEMS)).collect()}
+    assert out == {1: f"İ 300 \u212a  \u212a İx {ten.upper().replace('H', 'H \u212a')} İ", 2: "\u212a İ"}
+    k = " ".join("abcdefghi") + " k"
+    d = spark.createDataFrame([(1, f"\u212a {k[:-1]}\u212a; İ", 0, 0)], DOCS)
+    assert leaks.without_leaks(d, spark.createDataFrame([(1, k, 0)], ITEMS)).first().text == "\u212a ; İ"
+
+
+def test_a_test_set_of_any_size_gives_the_same(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)] + ["\u212a", "İ"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, text(14)) for i in range(20)]
+    docs = [(i, text(5) + " / " + rng.choice(items)[1].replace(" ", ", ") + "; " + text(9)) for i in range(60)] + [(99, None), (98, text(40))]
+    d = spark.createDataFrame([(i, t, 0, 0) for i, t in docs], DOCS)
+    e = spark.createDataFrame([(i, t, 0) for i, t in items], ITEMS)
+    rows = lambda: (found(spark, docs, items), sorted(map(str, leaks.without_leaks(d, e).collect())), sorted(r.doc_id for r in leaks.without_leaks(d, e, True).collect()))
+    small = rows()
+    monkeypatch.setattr(leaks, "MOST_ITEM_BYTES", 10)
+    assert rows() == small and len(small[0]) >= 60
+
+
+def test_removal_moves_no_text(spark):
+    d = spark.createDataFrame([(1, "t", 1, 9)], DOCS)
+    plan = leaks.without_leaks(d, spark.createDataFrame([(1, "x", 0)], ITEMS))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

@@ -77,3 +77,11 @@ def test_long_texts_are_counted_piece_by_piece(monkeypatch):
         pieces = list(mixing._pieces(text))
         assert "".join(pieces) == text and len(pieces) > 1
         assert [t for x in pieces for t in encode(x)] == encode(text)
+
+
+def test_budgets_are_filled_with_documents_that_still_fit(spark):
+    rng = random.Random(6)
+    docs = [(i, "word " * (800 if rng.random() < 0.2 else rng.randrange(1, 12)) + "x", "abc"[i % 3]) for i in range(900)]
+    _, shares = mix(spark, docs, [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 1)], total=40_000)
+    for r in shares.values():
+        assert 0 <= r.budget_tokens - r.mixed_tokens <= 0.01 * r.budget_tokens
