@@ -1,26 +1,31 @@
 """Records of evaluation splits that also stand, exactly or nearly, in the training split.
 
-Near copies are found by a cosine join of term-weight vectors. A 128-bit fingerprint is the unit
-vector of its signed bits, so two fingerprints that differ in h bits have the dot product
-1 - 2h/128, and "at most 10 bits" is the threshold t = 1 - 20/128. The terms of the inverted lists
-are blocks of bits: a block of b bits weighs at most b/128 (its maximum weight), and a block in
-which two vectors disagree leaves at most (b - 2)/128 of it (its residual). A pair that agrees in
-none of a design's terms is therefore bounded by a value below t and never meets; every other
-pair meets in a list and its exact dot product is computed. Designs with wider terms have more
-lists of fewer members; the cheapest for the numbers at hand is taken, and all are exact.
+Near copies are found by a weighted cosine join (``cosine``). A 128-bit fingerprint is the unit
+vector of its signed bits, so two that differ in h bits have the dot product 1 - 2h/128, and "at
+most 10 bits" is the threshold 1 - 20/128. Signed bits make lists of half of all records, so the
+lists are kept for terms made of several bits: the bits fall into groups, of which one has few
+differences; a group is cut into pieces, and its vector has a term of equal weight for each choice
+of some pieces. Two fingerprints within the threshold have, in one of the groups, a dot product of
+at least the design's own threshold, so the join on the groups' vectors misses none of them; the
+exact dot product of the signed bits follows. The design is the cheapest for the numbers at hand.
 
 Equal content hashes are a term of weight one of their own. Fingerprints are joined once per
-distinct value and expanded to keys only at the end.
+distinct value and expanded to keys only at the end; counts are made from classes of equal hashes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.llm.cosine import TermMap, met_lists, prefixes
 from quarrystone.session import cut
 
 BITS = 128
@@ -75,27 +80,48 @@ def _cut_bits(first: int, size: int, parts: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def designs(bits: int = BITS, most: int = MOST_DIFFERENT) -> list[list[list[tuple[int, int]]]]:
-    """Exact sets of terms; a term is a list of bit ranges that must all agree.
+@dataclass(frozen=True)
+class Design:
+    """Terms as (group, bit ranges that must agree), and the least number of ``per_group`` terms that a near pair shares in some group."""
+
+    terms: list[tuple[int, list[tuple[int, int]]]]
+    per_group: int
+    shared: int
+
+    @property
+    def threshold(self) -> float:
+        return self.shared / self.per_group
+
+    @property
+    def kept(self) -> int:
+        """Lists in which a fingerprint stands after pruning by maximum weights."""
+        return len(self.terms) // self.per_group * (self.per_group - self.shared + 1)
+
+
+def designs(bits: int = BITS, most: int = MOST_DIFFERENT) -> list[Design]:
+    """Designs without a miss.
 
     The bits fall into g groups, one of which has at most d = most // g differences; cut into s
-    pieces, that group has s - d whole pieces. One term for each choice of those pieces.
+    pieces, that group has s - d whole pieces. One term for each choice of k pieces.
     """
     out = []
     for g in range(3, most + 2):
         d = most // g
         for s in range(d + 1, d + 5):
-            if comb(s, s - d) * g <= 64:
-                out.append([list(c) for a, n in _cut_bits(0, bits, g) for c in combinations(_cut_bits(a, n, s), s - d)])
+            for k in range(1, s - d + 1):
+                n, shared = comb(s, k), comb(s - d, k)
+                if (n - shared + 1) * g <= 64:
+                    terms = [(i, list(c)) for i, (a, w) in enumerate(_cut_bits(0, bits, g)) for c in combinations(_cut_bits(a, w, s), k)]
+                    out.append(Design(terms, n, shared))
     return out
 
 
-def cheapest(train: int, evaluation: int, row_cost: float = 40.0) -> list[list[tuple[int, int]]]:
+def cheapest(train: int, evaluation: int, row_cost: float = 40.0) -> Design:
     """The design of least expected cost: rows to move, each ``row_cost`` times a compared pair."""
 
-    def cost(terms: list) -> float:
-        pairs = sum(2.0 ** -sum(n for _, n in t) for t in terms) * train * evaluation
-        return row_cost * len(terms) * (train + evaluation) + pairs
+    def cost(d: Design) -> float:
+        pairs = sum(2.0 ** -sum(n for _, n in t) for _, t in d.terms) * train * evaluation
+        return row_cost * d.kept * (train + evaluation) + pairs
 
     return min(designs(), key=cost)
 
@@ -104,14 +130,43 @@ def _mask(ranges: list[tuple[int, int]]) -> tuple[int, int]:
     bits = 0
     for a, n in ranges:
         bits |= ((1 << n) - 1) << (BITS - a - n)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return signed(bits >> 64), signed(bits & ((1 << 64) - 1))
+    return bits >> 64, bits & ((1 << 64) - 1)
+
+
+def _vectors(batches: Iterator[pa.RecordBatch], design: Design) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Fingerprints with the term numbers of their groups, as (rows, groups, terms of a group)."""
+    masks = [_mask(t) for _, t in design.terms]
+    for batch in batches:
+        high, low = (np.asarray(batch.column(i)).view(np.uint64) for i in (0, 1))
+        terms = np.empty((len(high), len(masks)), np.int64)
+        with np.errstate(over="ignore"):
+            for i, (h, w) in enumerate(masks):
+                x = (high & np.uint64(h)) * np.uint64(0x9E3779B97F4A7C15) + (low & np.uint64(w)) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(i + 1) * np.uint64(0x165667B19E3779F9)
+                x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+                terms[:, i] = (x ^ (x >> np.uint64(32))).view(np.int64)
+        yield batch, terms.reshape(len(high), -1, design.per_group)
+
 
+_LIST = "term bigint, high bigint, low bigint, rest float"
 
-def _postings(prints: DataFrame, terms: list[list[tuple[int, int]]], high: str, low: str) -> DataFrame:
-    """One row per fingerprint and term; the term's value is hashed with its number."""
-    keys = [F.xxhash64(F.lit(i), F.col("high").bitwiseAND(F.lit(h)), F.col("low").bitwiseAND(F.lit(w))) for i, (h, w) in enumerate(map(_mask, terms))]
-    return prints.select(F.explode(F.array(*keys)).alias("term"), F.col("high").alias(high), F.col("low").alias(low))
+
+def _listed(batches: Iterator[pa.RecordBatch], design: Design, met: TermMap | None) -> Iterator[pa.RecordBatch]:
+    """Entries of the inverted lists; ``met`` has the terms of the other side, all others weigh nothing there."""
+    weight = design.per_group**-0.5
+    for batch, terms in _vectors(batches, design):
+        n, g, k = terms.shape
+        flat = terms.reshape(n * g, k)
+        most = weight * met.holds(flat) if met is not None else np.full(flat.shape, weight)
+        flat, rest, keep = prefixes(flat, np.full(flat.shape, weight), most, None, design.threshold)
+        at, col = np.nonzero(keep)
+        row = pa.array(at // g)
+        yield pa.RecordBatch.from_arrays([pa.array(flat[at, col]), batch.column(0).take(row), batch.column(1).take(row), pa.array(rest[at, col].astype(np.float32))], names=["term", "high", "low", "rest"])
+
+
+def _marked(batches: Iterator[pa.RecordBatch], design: Design) -> Iterator[pa.RecordBatch]:
+    for _, terms in _vectors(batches, design):
+        yield TermMap.words(terms.ravel())
 
 
 def near_prints(train: DataFrame, evaluation: DataFrame, most: int = MOST_DIFFERENT) -> DataFrame:
@@ -119,11 +174,16 @@ def near_prints(train: DataFrame, evaluation: DataFrame, most: int = MOST_DIFFER
 
     Both sides are distinct ``(high, low)``.
     """
-    terms = cheapest(train.count(), evaluation.count())
-    pairs = _postings(train, terms, "th", "tl").join(_postings(evaluation, terms, "eh", "el"), "term")
+    design = cheapest(train.count(), evaluation.count())
+    met = TermMap.collected(evaluation.mapInArrow(lambda b: _marked(b, design), TermMap.SCHEMA))
+    held = train.sparkSession.sparkContext.broadcast(met)
+    left = train.mapInArrow(lambda b: _listed(b, design, held.value), _LIST)
+    right = evaluation.mapInArrow(lambda b: _listed(b, design, None), _LIST)
+    pairs = met_lists(left, right, ["high", "low"], design.threshold)
+    pairs = pairs.select(F.col("l.high").alias("th"), F.col("l.low").alias("tl"), F.col("r.high").alias("eh"), F.col("r.low").alias("el"))
     differ = F.bit_count(F.col("th").bitwiseXOR(F.col("eh"))) + F.bit_count(F.col("tl").bitwiseXOR(F.col("el")))
     dot = F.lit(1.0) - differ * (2.0 / BITS)
-    return pairs.where(dot >= 1 - 2.0 * most / BITS).select("th", "tl", "eh", "el").distinct()
+    return pairs.where(dot >= 1 - 2.0 * most / BITS).distinct()
 
 
 def cross_split_pairs(candidates: DataFrame, samples: DataFrame) -> DataFrame:
@@ -135,13 +195,17 @@ def cross_split_pairs(candidates: DataFrame, samples: DataFrame) -> DataFrame:
     """
     r = cut(records(candidates, samples).select("key", (F.col("split") == "train").alias("train"), "sha", "high", "low").distinct())
     t, e = r.where("train"), r.where("not train")
-    same = t.where("sha is not null").select("sha", F.col("key").alias("train_key")).distinct().join(e.where("sha is not null").select("sha", F.col("key").alias("eval_key")).distinct(), "sha")
     prints = lambda d: d.where("high is not null").select("high", "low").distinct()
     near = near_prints(cut(prints(t)), cut(prints(e)))
-    by_print = near.join(t.select(F.col("high").alias("th"), F.col("low").alias("tl"), F.col("key").alias("train_key")).distinct(), ["th", "tl"])
-    by_print = by_print.join(e.select(F.col("high").alias("eh"), F.col("low").alias("el"), F.col("key").alias("eval_key")).distinct(), ["eh", "el"])
-    both = same.select("train_key", "eval_key").unionByName(by_print.select("train_key", "eval_key"))
-    return both.where("train_key <> eval_key").distinct()
+    return _expanded(t, e, near).where("train_key <> eval_key").distinct()
+
+
+def _expanded(t: DataFrame, e: DataFrame, near: DataFrame) -> DataFrame:
+    """``train_key, eval_key`` of rows ``key, sha, high, low`` of both sides with the same content or near fingerprints; may repeat."""
+    of = lambda d, name, **columns: d.where(f"{next(iter(columns.values()))} is not null").select(*[F.col(c).alias(a) for a, c in columns.items()], F.col("key").alias(name)).distinct()
+    same = of(t, "train_key", sha="sha").join(of(e, "eval_key", sha="sha"), "sha")
+    by_print = near.join(of(t, "train_key", th="high", tl="low"), ["th", "tl"]).join(of(e, "eval_key", eh="high", el="low"), ["eh", "el"])
+    return same.select("train_key", "eval_key").unionByName(by_print.select("train_key", "eval_key"))
 
 
 def overlap_links(candidates: DataFrame, samples: DataFrame) -> DataFrame:
@@ -172,7 +236,38 @@ def overlap_links(candidates: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def overlap_counts(candidates: DataFrame, samples: DataFrame) -> DataFrame:
-    """Per evaluation split and resource of the evaluation record: pairs and affected records."""
-    pairs = cross_split_pairs(candidates, samples)
-    who = records(candidates, samples).where("split <> 'train'").select(F.col("key").alias("eval_key"), "split", "resource_id").distinct()
-    return pairs.join(who, "eval_key").groupBy("split", "resource_id").agg(F.count("*").alias("pairs"), F.countDistinct("eval_key").alias("records"))
+    """Per evaluation split and resource of the evaluation record: pairs and affected records.
+
+    Pairs are those of ``cross_split_pairs``, counted without listing them: records with one
+    content hash and one fingerprint form classes, and links are added up between classes (same
+    content, plus near fingerprints, less both). Only records listed with several values, or on
+    both sides, have their own pairs listed.
+    """
+    r = cut(records(candidates, samples).withColumn("train", F.col("split") == "train").distinct())
+    own = F.struct("high", "low")
+    print_ = F.when(F.col("high").isNotNull(), own)
+    keys = r.groupBy("key").agg(
+        *[f(x).alias(f"{n}{i}") for i, f in enumerate((F.min, F.max)) for n, x in (("sha", F.col("sha")), ("print", print_), ("train", F.col("train")))]
+    )
+    plain = F.coalesce(F.col("sha0") == F.col("sha1"), F.lit(True)) & F.coalesce(F.col("print0") == F.col("print1"), F.lit(True)) & (F.col("train0") == F.col("train1"))
+    keys = cut(keys.select("key", F.col("train0").alias("train"), F.col("sha0").alias("sha"), F.col("print0.high").alias("high"), F.col("print0.low").alias("low"), plain.alias("plain")))
+    prints = lambda train: r.where(F.col("train") == train).where("high is not null").select("high", "low").distinct()
+    near = cut(near_prints(cut(prints(True)), cut(prints(False))))
+    classes = lambda train: keys.where("plain").where(F.col("train") == train).groupBy("sha", "high", "low").agg(F.count("*").alias("n"))
+    t = cut(classes(True))
+    e = cut(classes(False).select(F.col("sha").alias("esha"), F.col("high").alias("eh"), F.col("low").alias("el")))
+    same = e.join(t.where("sha is not null").groupBy(F.col("sha").alias("esha")).agg(F.sum("n").alias("n")), "esha").select("esha", "eh", "el", "n")
+    by_print = near.join(t.where("high is not null").groupBy(F.col("high").alias("th"), F.col("low").alias("tl")).agg(F.sum("n").alias("n")), ["th", "tl"]).groupBy("eh", "el").agg(F.sum("n").alias("n"))
+    close = e.join(by_print, ["eh", "el"]).select("esha", "eh", "el", "n")
+    both = e.join(t.where("sha is not null and high is not null").select(F.col("sha").alias("esha"), F.col("high").alias("th"), F.col("low").alias("tl"), "n"), "esha").join(near, ["th", "tl", "eh", "el"]).select("esha", "eh", "el", (-F.col("n")).alias("n"))
+    links = same.unionByName(close).unionByName(both).groupBy("esha", "eh", "el").agg(F.sum("n").alias("n"))
+    safe = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    counted = keys.where("plain and not train").join(links, safe("sha", "esha") & safe("high", "eh") & safe("low", "el")).select(F.col("key").alias("eval_key"), "n")
+    # what is listed: pairs with a record of several values on one side or the other
+    odd = keys.where("not plain").select("key")
+    side = lambda train: r.where(F.col("train") == train).select("key", "sha", "high", "low").distinct()
+    listed = _expanded(side(True), side(False).join(odd, "key", "left_semi"), near).unionByName(_expanded(side(True).join(odd, "key", "left_semi"), side(False).join(odd, "key", "left_anti"), near))
+    listed = listed.where("train_key <> eval_key").distinct().groupBy("eval_key").agg(F.count("*").alias("n"))
+    pairs = counted.unionByName(listed).groupBy("eval_key").agg(F.sum("n").alias("n")).where("n > 0")
+    who = r.where("not train").select(F.col("key").alias("eval_key"), "split", "resource_id").distinct()
+    return pairs.join(who, "eval_key").groupBy("split", "resource_id").agg(F.sum("n").cast("bigint").alias("pairs"), F.countDistinct("eval_key").alias("records"))

@@ -42,10 +42,40 @@ def test_every_design_is_exact_at_the_bound(spark):
             for b in rng.sample(range(128), d):
                 q ^= 1 << b
             rows.append((p, q, d))
-    for terms in overlap.designs():
-        masks = [sum(((1 << n) - 1) << (128 - a - n) for a, n in t) for t in terms]
-        assert all(any(p & m == q & m for m in masks) for p, q, d in rows if d == 10)
-    assert min(len(overlap.cheapest(10**k, 10**k)) for k in (2, 9)) < max(len(overlap.cheapest(10**k, 10**k)) for k in (2, 9))
+    for design in overlap.designs():
+        masks = [(g, sum(((1 << n) - 1) << (128 - a - n) for a, n in t)) for g, t in design.terms]
+        for p, q, d in rows:
+            if d == 10:  # in one group as many common terms as the threshold asks for
+                common = [0] * (max(g for g, _ in masks) + 1)
+                for g, m in masks:
+                    common[g] += p & m == q & m
+                assert max(common) / design.per_group >= design.threshold
+    assert min(overlap.cheapest(10**k, 10**k).kept for k in (2, 9)) < max(overlap.cheapest(10**k, 10**k).kept for k in (2, 9))
+
+
+def test_designs_that_share_several_terms_lose_nothing(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"{rng.getrandbits(128):032x}" for _ in range(6)]
+    cand = [(f"k{i}", "r", "x", None, flipped(rng.choice(base), rng.choice([0, 5, 10]), rng), rng.choice(["train", "dev"])) for i in range(120)]
+    num = {k: int(p, 16) for k, _, _, _, p, _ in cand}
+    side = {r[0]: r[5] for r in cand}
+    want = {(a, b) for a in num for b in num if side[a] == "train" and side[b] == "dev" and (num[a] ^ num[b]).bit_count() <= 10}
+    several = max((d for d in overlap.designs() if d.shared > 2), key=lambda d: d.kept)
+    monkeypatch.setattr(overlap, "cheapest", lambda *_: several)
+    assert pairs(spark, cand, []) == want and len(want) > 100
+
+
+def test_a_third_of_all_prints_in_one_cluster(spark, monkeypatch):
+    from quarrystone.llm import cosine
+
+    monkeypatch.setattr(cosine, "LIST", 16)
+    rng = random.Random(8)
+    blank = "f" * 32
+    cand = [(f"k{i}", "r", "x", None, flipped(blank, rng.randrange(0, 4), rng) if i % 3 == 0 else f"{rng.getrandbits(128):032x}", "train" if i % 2 else "test") for i in range(600)]
+    num = {k: int(p, 16) for k, _, _, _, p, _ in cand}
+    side = {r[0]: r[5] for r in cand}
+    want = {(a, b) for a in num for b in num if side[a] == "train" and side[b] == "test" and (num[a] ^ num[b]).bit_count() <= 10}
+    assert pairs(spark, cand, []) == want and len(want) > 5000
 
 
 def test_hashes_splits_and_keys(spark):
@@ -79,3 +109,25 @@ def test_links_of_copies_are_counted_not_listed(spark):
     got = overlap.overlap_links(spark.createDataFrame(cand, CAND), spark.createDataFrame([], SAMP)).collect()
     assert {(r.key[0], r.same_links, r.near_links, r.content_class) for r in got} == {("t", 5, 5, h), ("e", 7, 7, h)} and len(got) == 12
     assert {r.print_class for r in got} == {"0" * 32, "0" * 31 + "1"}
+
+
+def test_counts_equal_the_listed_pairs(spark):
+    rng = random.Random(11)
+    shas = [f"{i:02x}" * 32 for i in range(8)]
+    prints = [f"{rng.getrandbits(128):032x}" for _ in range(5)]
+    rows = []
+    for i in range(260):
+        key = f"k{rng.randrange(170)}"  # some with several values, some on both sides
+        p = rng.choice([None, flipped(rng.choice(prints), rng.choice([0, 0, 2, 6]), rng)])
+        rows.append((key, rng.choice(["r1", "r2"]), "x", rng.choice([None, *shas]), p, rng.choice(["train", "train", "dev", "test"]), "", "", ""))
+    c, s = spark.createDataFrame(rows, CAND), spark.createDataFrame([], SAMP)
+    who = {}
+    for r in rows:
+        if r[5] != "train" and (r[3] or r[4]):
+            who.setdefault(r[0], set()).add(("test" if r[5] == "test" else "validation", r[1]))
+    want = {}
+    for a, b in pairs(spark, [r[:6] for r in rows], []):
+        for w in who[b]:
+            want.setdefault(w, []).append(b)
+    got = {(r.split, r.resource_id): (r.pairs, r.records) for r in overlap.overlap_counts(c, s).collect()}
+    assert got == {w: (len(x), len(set(x))) for w, x in want.items()}
