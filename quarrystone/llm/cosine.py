@@ -78,19 +78,23 @@ class TermMap:
 
 
 def met_lists(left: DataFrame, right: DataFrame, ids: list[str], threshold: float, most: int | None = None) -> DataFrame:
-    """Candidate pairs ``l, r`` (structs of the ids) of list entries ``term, *ids, rest``; a pair may come several times.
+    """Candidate pairs (ids with ``l_`` and ``r_`` before them) of list entries ``term, *ids, rest``; a pair may come several times.
 
     A list with more than ``most`` members on the left is cut into slices that each meet all
     members on the right.
     """
     most = LIST if most is None else most
-    left, right = cut(left), cut(right)
+    left = cut(left)
     long_ = left.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") > most).select("term", F.ceil(F.col("n") / most).cast("int").alias("slices"))
     long_ = cut(long_)  # a fraction of 1 / most of the entries at most; the join is left to Spark by its size
-    of = lambda d, side: d.join(long_, "term", "left").select("term", F.struct(*ids).alias(side), F.col("rest").alias(f"{side}_rest"), F.coalesce("slices", F.lit(1)).alias("slices"))
-    a = of(left, "l").withColumn("slice", F.pmod(F.xxhash64("l"), F.col("slices")).cast("int")).drop("slices")
-    b = of(right, "r").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-    return a.join(b, ["term", "slice"]).where(F.col("l_rest") * F.col("r_rest") >= threshold - _SLACK).select("l", "r")
+    renamed = lambda d, side: d.select("term", *[F.col(c).alias(side + c) for c in [*ids, "rest"]])
+    a, b, on = renamed(left, "l_"), renamed(right, "r_"), ["term"]
+    if not long_.isEmpty():
+        slices = F.coalesce("slices", F.lit(1))
+        a = a.join(long_, "term", "left").withColumn("slice", F.pmod(F.xxhash64(*[f"l_{c}" for c in ids]), slices).cast("int")).drop("slices")
+        b = b.join(long_, "term", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop("slices")
+        on = ["term", "slice"]
+    return a.join(b, on).where(F.col("l_rest") * F.col("r_rest") >= threshold - _SLACK).select(*[f"{side}_{c}" for side in "lr" for c in ids])
 
 
 _ENTRY = "term bigint, id bigint, rest float"
@@ -140,7 +144,7 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
         parts = parts.groupBy("id").agg(F.collect_list(F.struct("term", "weight", "most", "lists")).alias("parts"))
         return parts.mapInArrow(lambda x: _entries(x, threshold), _ENTRY)
 
-    pairs = met_lists(entries(a, "lb"), entries(b, "la"), ["id"], threshold).select(F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id")).distinct()
+    pairs = met_lists(entries(a, "lb"), entries(b, "la"), ["id"], threshold).select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id")).distinct()
     held = pairs.join(a.select(F.col("id").alias("left_id"), F.col("vector").alias("v")), "left_id").join(b.select(F.col("id").alias("right_id"), F.map_from_entries("vector").alias("m")), "right_id")
     dot = F.aggregate("v", F.lit(0.0), lambda s, x: s + x["weight"] * F.coalesce(F.try_element_at(F.col("m"), x["term"]), F.lit(0.0)))
     return held.select("left_id", "right_id", dot.alias("dot")).where(F.col("dot") >= threshold - 1e-12)

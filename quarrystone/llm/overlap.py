@@ -18,14 +18,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import comb, exp
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.cosine import TermMap, met_lists, prefixes
+from quarrystone.llm.cosine import MAP_BITS, TermMap, met_lists, prefixes
 from quarrystone.session import cut
 
 BITS = 128
@@ -116,14 +116,23 @@ def designs(bits: int = BITS, most: int = MOST_DIFFERENT) -> list[Design]:
     return out
 
 
-def cheapest(train: int, evaluation: int, row_cost: float = 40.0) -> Design:
-    """The design of least expected cost: rows to move, each ``row_cost`` times a compared pair."""
+def cheapest(train: int, evaluation: int, row_cost: float = 15.0) -> tuple[Design, bool]:
+    """The design of least expected cost in compared pairs, and whether the terms of the evaluation side are mapped first.
 
-    def cost(d: Design) -> float:
-        pairs = sum(2.0 ** -sum(n for _, n in t) for _, t in d.terms) * train * evaluation
-        return row_cost * d.kept * (train + evaluation) + pairs
+    To move an entry costs ``row_cost`` pairs, to make a term one. With a map, terms of the training
+    side that the evaluation side lacks weigh nothing and are not moved; that pays where the
+    evaluation side is much the smaller one.
+    """
+
+    def cost(choice: tuple[Design, bool]) -> float:
+        d, mapped = choice
+        n = len(d.terms)
+        chance = [2.0 ** -sum(b for _, b in t) for _, t in d.terms]
+        met = [min(1.0, 1 - exp(-evaluation * c) + evaluation * n / 2**MAP_BITS) for c in chance] if mapped else [1.0] * n
+        rows = d.kept / n * (train * sum(met) + evaluation * n) + mapped * evaluation * n
+        return n * (train + evaluation) + row_cost * rows + sum(chance) * train * evaluation
 
-    return min(designs(), key=cost)
+    return min(((d, m) for d in designs() for m in (False, True)), key=cost)
 
 
 def _mask(ranges: list[tuple[int, int]]) -> tuple[int, int]:
@@ -157,8 +166,11 @@ def _listed(batches: Iterator[pa.RecordBatch], design: Design, met: TermMap | No
     for batch, terms in _vectors(batches, design):
         n, g, k = terms.shape
         flat = terms.reshape(n * g, k)
-        most = weight * met.holds(flat) if met is not None else np.full(flat.shape, weight)
-        flat, rest, keep = prefixes(flat, np.full(flat.shape, weight), most, None, design.threshold)
+        if design.shared == 1:  # each term alone reaches the threshold: nothing to put in order
+            keep, rest = met.holds(flat) if met is not None else np.ones(flat.shape, bool), np.ones(flat.shape)
+        else:
+            most = weight * met.holds(flat) if met is not None else np.full(flat.shape, weight)
+            flat, rest, keep = prefixes(flat, np.full(flat.shape, weight), most, None, design.threshold)
         at, col = np.nonzero(keep)
         row = pa.array(at // g)
         yield pa.RecordBatch.from_arrays([pa.array(flat[at, col]), batch.column(0).take(row), batch.column(1).take(row), pa.array(rest[at, col].astype(np.float32))], names=["term", "high", "low", "rest"])
@@ -174,13 +186,17 @@ def near_prints(train: DataFrame, evaluation: DataFrame, most: int = MOST_DIFFER
 
     Both sides are distinct ``(high, low)``.
     """
-    design = cheapest(train.count(), evaluation.count())
-    met = TermMap.collected(evaluation.mapInArrow(lambda b: _marked(b, design), TermMap.SCHEMA))
-    held = train.sparkSession.sparkContext.broadcast(met)
-    left = train.mapInArrow(lambda b: _listed(b, design, held.value), _LIST)
+    design, mapped = cheapest(train.count(), evaluation.count())
+    tasks = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    train, evaluation = train.repartition(tasks), evaluation.repartition(tasks)  # small rows, much work on each
+    met = None
+    if mapped:
+        words = evaluation.mapInArrow(lambda b: _marked(b, design), TermMap.SCHEMA)
+        met = train.sparkSession.sparkContext.broadcast(TermMap.collected(words))
+    left = train.mapInArrow(lambda b: _listed(b, design, met and met.value), _LIST)
     right = evaluation.mapInArrow(lambda b: _listed(b, design, None), _LIST)
     pairs = met_lists(left, right, ["high", "low"], design.threshold)
-    pairs = pairs.select(F.col("l.high").alias("th"), F.col("l.low").alias("tl"), F.col("r.high").alias("eh"), F.col("r.low").alias("el"))
+    pairs = pairs.toDF("th", "tl", "eh", "el")
     differ = F.bit_count(F.col("th").bitwiseXOR(F.col("eh"))) + F.bit_count(F.col("tl").bitwiseXOR(F.col("el")))
     dot = F.lit(1.0) - differ * (2.0 / BITS)
     return pairs.where(dot >= 1 - 2.0 * most / BITS).distinct()

@@ -50,7 +50,7 @@ def test_every_design_is_exact_at_the_bound(spark):
                 for g, m in masks:
                     common[g] += p & m == q & m
                 assert max(common) / design.per_group >= design.threshold
-    assert min(overlap.cheapest(10**k, 10**k).kept for k in (2, 9)) < max(overlap.cheapest(10**k, 10**k).kept for k in (2, 9))
+    assert min(overlap.cheapest(10**k, 10**k)[0].kept for k in (2, 9)) < max(overlap.cheapest(10**k, 10**k)[0].kept for k in (2, 9))
 
 
 def test_designs_that_share_several_terms_lose_nothing(spark, monkeypatch):
@@ -61,8 +61,13 @@ def test_designs_that_share_several_terms_lose_nothing(spark, monkeypatch):
     side = {r[0]: r[5] for r in cand}
     want = {(a, b) for a in num for b in num if side[a] == "train" and side[b] == "dev" and (num[a] ^ num[b]).bit_count() <= 10}
     several = max((d for d in overlap.designs() if d.shared > 2), key=lambda d: d.kept)
-    monkeypatch.setattr(overlap, "cheapest", lambda *_: several)
-    assert pairs(spark, cand, []) == want and len(want) > 100
+    for mapped in (True, False):
+        monkeypatch.setattr(overlap, "cheapest", lambda *_, m=mapped: (several, m))
+        assert pairs(spark, cand, []) == want and len(want) > 100
+
+
+def test_terms_are_mapped_where_the_evaluation_side_is_small():
+    assert overlap.cheapest(10**8, 10**4)[1] and not overlap.cheapest(10**5, 10**5)[1]
 
 
 def test_a_third_of_all_prints_in_one_cluster(spark, monkeypatch):
