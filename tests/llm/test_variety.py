@@ -75,3 +75,67 @@ def test_rounds_reach_the_greedy_value():
     for _ in range(budget):
         greedy.append(max((i for i in range(n) if i not in greedy), key=lambda i: value(greedy + [i])))
     assert len(set(got)) == budget and value(got) > 0.97 * value(greedy) > value(list(range(budget)))
+
+
+def greedy(cand, budget):
+    """Plain greedy choice of one resource from rows (stratum, embedding), and the value of any choice."""
+    import pyarrow as pa
+
+    width = max((len(e) for _, e in cand if e is not None), default=0)
+    cells, mass = variety._features(pa.array([e for _, e in cand], pa.list_(pa.float32())), width)
+    names, code = np.unique(np.array([s for s, _ in cand], object).astype(str), return_inverse=True)
+
+    def value(rows):
+        cover = variety.Cover(width)
+        for r in rows:
+            cover.add(names[code[r]], cells[r], mass[r])
+        return cover.value()
+
+    cover, left, out = variety.Cover(width), np.arange(len(cand)), []
+    while len(out) < min(budget, len(cand)):
+        k = int(np.argmax(cover.gains(cover.counts(names)[code[left]], cells[left], mass[left])))
+        r = left[k]
+        cover.add(names[code[r]], cells[r], mass[r])
+        out.append(r)
+        left = np.delete(left, k)
+    return value(out), value
+
+
+def test_shards_reach_the_greedy_value_for_every_resource(spark):
+    import os
+
+    import pytest
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    c, s = spark.read.parquet(f"{d}/image_candidates.parquet"), spark.read.parquet(f"{d}/sampling_summaries.parquet")
+    pool = {}
+    for r in variety.listed_candidates(c).collect():
+        pool.setdefault(r.resource_id, {})[r.candidate_key] = (r.stratum, r.embedding)
+    budgets = {r.resource_id: r.budget for r in variety.requested_budgets(s).collect()}
+    got = {}
+    for r in variety.varied_subset(c, s, shard=24).collect():
+        got.setdefault(r.resource_id, []).append(r.candidate_key)
+    sharded = 0
+    for resource, budget in budgets.items():
+        own = pool.get(resource, {})
+        assert len(got.get(resource, [])) == min(budget, len(own)) == len(set(got.get(resource, [])))
+        if own:
+            sharded += len(own) > 24
+            keys = list(own)
+            best, value = greedy([own[k] for k in keys], budget)
+            assert value([keys.index(k) for k in got[resource]]) >= 0.95 * best, resource
+    assert sharded > 20
+
+
+def test_large_budgets_are_chosen_in_cells_and_many_shards_take_turns(spark, monkeypatch):
+    monkeypatch.setattr(variety, "PROPOSALS", 3)
+    rng = np.random.default_rng(5)
+    cand = [(f"k{i}", "r", f"s:{i % 11}" if i % 2 else "s:big", True, T0, unit(rng)) for i in range(600)]
+    got = chosen(spark, cand, [("s", "r", 90, T0)], shard=40, cell=50)
+    assert len({k for _, k, _ in got}) == 90
+    rows = {k: (s, e) for k, _, s, _, _, e in cand}
+    keys = list(rows)
+    best, value = greedy([rows[k] for k in keys], 90)
+    assert value([keys.index(k) for _, k, _ in got]) > 0.95 * best
