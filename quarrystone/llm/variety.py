@@ -30,6 +30,7 @@ SHARD, CELL, PROPOSALS = 4096, 4096, 8192
 TABLES, BITS = 6, 6
 STRATUM_WEIGHT, CELL_WEIGHT = 1.0, 0.5
 DESCENT = 0.9
+MOST_STATE_BYTES = 64 << 20  # of all open states together, to be broadcast
 
 
 def plain_stratum(stratum: Column) -> Column:
@@ -201,7 +202,7 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 free = np.setdiff1d(np.arange(len(s.tie)), [i for k, i in state["chosen"] if k == row["shard"]])
                 most = min(state["left"], max(1, PROPOSALS * turns // row["shards"]))
                 rows, best, more = s.round(state["cover"], free, state["bar"], most)
-                proposed = pickle.dumps({"rows": rows, "strata": s.names[s.code[rows]].tolist(), "cells": s.cells[rows], "mass": s.mass[rows], "tie": s.tie[rows], "best": best, "more": more, "turns": turns})
+                proposed = pickle.dumps({"rows": rows, "strata": s.names[s.code[rows]].tolist(), "cells": s.cells[rows].astype(np.int8), "mass": s.mass[rows].astype(np.float32), "tie": s.tie[rows], "best": best, "more": more, "turns": turns})
                 out.append((row["resource_id"], row["cell"], row["shard"], row["state"] if row["shard"] == state["turn"] else None, proposed))
         kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=_names(_PROPOSED))
@@ -216,7 +217,7 @@ def _decide(table: pa.Table) -> pa.Table:
     rows = [(s, r) for s, p in said for r in p["rows"]]
     best = max([state["best"], *[p["best"] for _, p in said]])
     if rows:
-        all_ = Shard(np.array([x for _, p in said for x in p["strata"]], object), *[np.concatenate([p[c] for _, p in said if p["rows"]]) for c in ("cells", "mass", "tie")])
+        all_ = Shard(np.array([x for _, p in said for x in p["strata"]], object), *[np.concatenate([p[c] for _, p in said if p["rows"]]).astype(k) for c, k in (("cells", np.int64), ("mass", float), ("tie", np.int64))])
         added, missed, _ = all_.round(cover, np.arange(len(rows)), bar, state["left"])
         state["chosen"] += [rows[i] for i in added]
         state["left"] -= len(added)
@@ -277,8 +278,12 @@ def varied_subset(candidates: DataFrame, summaries: DataFrame, shard: int | None
     open_ = packed.where("not done")
     states = cut(open_.groupBy("resource_id", "cell").applyInArrow(_begin, _STATE))
     key = ["resource_id", "cell"]
-    while not states.where("left > 0").isEmpty():
-        asked = open_.join(states.where("left > 0").select(*key, "state"), key)
+    while True:
+        asking = states.where("left > 0").select(*key, "state")
+        size = asking.agg(F.sum(F.octet_length("state"))).first()[0]
+        if size is None:
+            break
+        asked = open_.join(F.broadcast(asking) if size <= MOST_STATE_BYTES else asking, key)  # else the shards are moved to their states
         decided = asked.select(*key, "shard", "shards", "width", "keys", "strata", "cells", "mass", "tie", "state").mapInArrow(_propose, _PROPOSED)
         states = cut(decided.groupBy(*key).applyInArrow(_decide, _STATE).unionByName(states.where("left = 0")))
     columns = [*key, "shard", "done", "keys", "strata"]
