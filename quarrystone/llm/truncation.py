@@ -124,9 +124,56 @@ def _trailer_done(line: str) -> bool | None:
     return None
 
 
+def _columns(lines: list[str]) -> str | None:
+    """State of a table by its last row; None if the lines are no table.
+
+    Rows of a table have the same number of separators, or of gaps between columns.
+    """
+    for sep, least in ((r"\S\s*\|(?=\s*\S)", 3), (r"\t", 3), (r"\S {2,}(?=\S)", 4), (r";", 4), (r",", 4)):
+        counts = [len(re.findall(sep, x)) for x in lines]
+        if len(lines) >= least and counts[0] and len(set(counts[:-1])) == 1 and (sep in (r"\t", r"\S\s*\|(?=\s*\S)") or counts[0] > 1):
+            closed = lines[0].rstrip()[-1:] == lines[-2].rstrip()[-1:] == "|"
+            return "done" if counts[-1] == counts[0] and (not closed or lines[-1].rstrip().endswith("|")) else "open"
+    return None
+
+
+_CODE_LINE = re.compile(r".*[;{}:)\]]\s*\Z|\s*(?:return|def|class|if|for|while|import|from|else|elif|end|fn|func|let|var|const)\b|[^.!?]*\S\s=\s\S")
+_OPENERS, _CLOSERS = "([{", ")]}"
+
+
+def _program(lines: list[str]) -> str | None:
+    """State of a block of code by its brackets; None if most lines are none."""
+    if len(lines) < 3 or sum(bool(_CODE_LINE.match(x)) for x in lines) < 0.6 * len(lines) or not _CODE_LINE.match(lines[-1]):
+        return None
+    plain = re.sub(r"\"[^\"\n]*\"|'[^'\n]*'", "", "\n".join(lines))
+    depth = sum(plain.count(c) for c in _OPENERS) - sum(plain.count(c) for c in _CLOSERS)
+    return "done" if depth <= 0 and not re.search(r"[,(\[{=+*/&|-]\s*\Z", plain) else "open"
+
+
+def _short_units(paras: list[str], lines: list[str]) -> bool:
+    """Whether the last paragraph is made of short lines that are no sentences: verse like what stands before it, or a signature."""
+    units = [x.strip() for x in lines]
+    capital = all(x[:1].isupper() or x[:1].isdigit() for x in units)
+    if not capital or max(map(len, units)) > 60:
+        return False
+    before = [x.strip() for p in paras[:-1] for x in p.strip().split("\n")]
+    verse = len(units) > 1 and len(before) > 1 and max(map(len, before)) <= 60 and sum(not _DONE.search(x) for x in before) >= 0.5 * len(before)
+    words = [w for x in units for w in x.split()]
+    names = sum(w[:1].isupper() for w in words) >= 0.6 * len(words) and len(words) <= 5 * len(units)
+    greeting = (len(units) > 1 and units[0].endswith(",")) or (len(words) > 1 and bool(before) and before[-1].endswith(","))
+    return verse or (names and greeting and len(units) <= 4)
+
+
+_INNER_END = re.compile(r"[a-z][.!?][\"')\]]*\s+(?=[A-Z\"'(])")
+PROSE = 160  # signs from which a paragraph of sentences is no headline
+
+
 def message_state(text: str) -> tuple[str, str]:
     """``done``, ``open``, ``title``, ``bullet`` or ``trailer`` for a text without a diff, and its last word.
 
+    A text is held against its own ways: rows of a table against the rows before them, code
+    against its brackets, short lines against those above. A lone paragraph is a headline unless
+    it is long and made of sentences.
     For the last three only other texts can tell whether the last word is whole.
     """
     text = _FOOT.sub("", text).rstrip()
@@ -145,8 +192,12 @@ def message_state(text: str) -> tuple[str, str]:
         return "open", word
     if _DONE.search(last):
         return "done", word
+    style = _columns(lines) or _program(lines)
+    if style:
+        return style, word
     if len(paras) - 1 <= first and not _BULLET.match(last):
-        return "title", word
+        prose = len(paras[-1].strip()) >= PROSE and len(_INNER_END.findall(paras[-1])) > 1
+        return ("open" if prose else "title"), word
     if last.strip().startswith("(") or (last.strip().startswith("[") and len(lines) == 1):
         return ("done" if last.rstrip().endswith((")", "]")) else "open"), word
     if any(x.strip() == "Conflicts:" for x in lines):
@@ -158,7 +209,7 @@ def message_state(text: str) -> tuple[str, str]:
         return "open", word
     if _BULLET.match(last):
         return "bullet", word
-    return "open", word
+    return ("done" if _short_units(paras, lines) else "open"), word
 
 
 def lengths(text: str) -> list[int]:

@@ -95,3 +95,31 @@ def test_rates(spark):
     d = spark.createDataFrame([(1, "T\n\nNot en", "A ", "", 1, ""), (2, "T\n\nAll.", "a", "", 1, ""), (3, None, None, "", 1, "")], DOCS)
     got = {r.source: (r.documents, r.truncated, r.rate) for r in tr.truncation_rates(d).collect()}
     assert got == {"a": (2, 1, 0.5), "": (1, 0, 0.0)}
+
+
+PROSE = (
+    "The museum opens its new wing in spring. Visitors will find three halls of maps and a small reading room. "
+    "Most of the collection was stored in boxes for thirty years. The staff photographed every sheet before it was hung. "
+    "Two of the halls are free of charge. The third one shows loans from abroad and will change every few months, so it is closed at times. "
+)
+
+
+@pytest.mark.parametrize(
+    ("text", "cut"),
+    [
+        (PROSE + "The reading room follows before the end of the ye", True),
+        (PROSE + "The reading room follows before the end of the year.", False),
+        ("Minutes of the board.\n\nThe chair opened the meeting and thanked the guests for the long way they had come, and the treasurer then\nread the fig", True),
+        ("Dear Ms Webb,\n\nthank you for the parcel. It came in good order.\n\nKind regards,\nJane Doe", False),
+        ("Dear Ms Webb,\n\nthank you for the parcel. It came in good order.\n\nYours,\n\nJane Doe", False),
+        ("Results of the spring race.\n\nname | club | time\nAnna | North | 31.2\nBela | South | 30.8\nCora | East | 33.0", False),
+        ("Results of the spring race.\n\n| name | club | time |\n| Anna | North | 31.2 |\n| Bela | South | 30.8 |\n| Cora | Ea", True),
+        ("Helper for areas.\n\ndef area(w, h):\n    total = w * h\n    return total", False),
+        ("Helper for areas.\n\nint area(int w, int h) {\n    int total = w * h;\n    return total;\n}", False),
+        ("Helper for areas.\n\nint area(int w, int h) {\n    int total = (w *\n    ", True),
+        ("Song of the Mill\n\nRound and round the wheel goes by\nUnder grey and under blue\n\nGrain to flour and flour to bread\nOld songs ever sung anew", False),
+        ("Fix the lock order", False),
+    ],
+)
+def test_texts_of_other_kinds(text, cut):
+    assert (tr.diff_state(text) or tr.message_state(text)[0]) in (("open",) if cut else ("done", "title"))
