@@ -259,7 +259,7 @@ def overlap_counts(candidates: DataFrame, samples: DataFrame) -> DataFrame:
     content, plus near fingerprints, less both). Only records listed with several values, or on
     both sides, have their own pairs listed.
     """
-    r = cut(records(candidates, samples).withColumn("train", F.col("split") == "train").distinct())
+    r = cut(records(candidates, samples).withColumn("train", F.col("split") == "train"))
     own = F.struct("high", "low")
     print_ = F.when(F.col("high").isNotNull(), own)
     keys = r.groupBy("key").agg(
@@ -270,8 +270,8 @@ def overlap_counts(candidates: DataFrame, samples: DataFrame) -> DataFrame:
     prints = lambda train: r.where(F.col("train") == train).where("high is not null").select("high", "low").distinct()
     near = cut(near_prints(cut(prints(True)), cut(prints(False))))
     classes = lambda train: keys.where("plain").where(F.col("train") == train).groupBy("sha", "high", "low").agg(F.count("*").alias("n"))
-    t = cut(classes(True))
-    e = cut(classes(False).select(F.col("sha").alias("esha"), F.col("high").alias("eh"), F.col("low").alias("el")))
+    t = classes(True)
+    e = classes(False).select(F.col("sha").alias("esha"), F.col("high").alias("eh"), F.col("low").alias("el"))
     same = e.join(t.where("sha is not null").groupBy(F.col("sha").alias("esha")).agg(F.sum("n").alias("n")), "esha").select("esha", "eh", "el", "n")
     by_print = near.join(t.where("high is not null").groupBy(F.col("high").alias("th"), F.col("low").alias("tl")).agg(F.sum("n").alias("n")), ["th", "tl"]).groupBy("eh", "el").agg(F.sum("n").alias("n"))
     close = e.join(by_print, ["eh", "el"]).select("esha", "eh", "el", "n")
