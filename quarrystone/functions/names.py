@@ -152,3 +152,8 @@ def source_file(path: Column) -> Column:
     """Files worth sampling from a model repository."""
     n = base_name(path)
     return n.isin("license", "copying", *DEPENDENCY_NAMES, *ENTRYPOINT_NAMES) | suffix(path).isin(SOURCE_SUFFIXES)
+
+
+def plain_name(name: Column) -> Column:
+    """Lower case without surrounding white space and byte-order marks."""
+    return F.lower(F.regexp_replace(name, r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$", ""))

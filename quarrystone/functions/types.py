@@ -11,15 +11,19 @@ INTEGER = r"^[+-]?[0-9]+(_[0-9]+)*$"
 NUMBER = r"^[+-]?(([0-9]+(_[0-9]+)*)([.]([0-9]+(_[0-9]+)*)?)?|[.][0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+(_[0-9]+)*)?$|^[+-]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def scalar_type(text: Column) -> Column:
     """``string``, ``boolean``, ``integer`` or ``number`` for one text value; null for null; blank is a string."""
-    t = F.trim(text)
+    t = _stripped(text)
     return F.when(text.isNull(), None).when(F.lower(t).isin("true", "false"), "boolean").when(t.rlike(INTEGER), "integer").when(t.rlike(NUMBER), "number").otherwise("string")
 
 
 def inspected_type(text: Column) -> Column:
     """``integer``, ``number`` or ``string``; null for null and blank. Booleans and containers are strings."""
-    t = F.trim(text)
+    t = _stripped(text)
     return F.when(text.isNull() | (t == ""), None).when(t.rlike(INTEGER), "integer").when(t.rlike(NUMBER), "number").otherwise("string")
 
 
@@ -163,3 +167,10 @@ def schema_tasks(schema: T.StructType) -> list[str]:
     labels = [label for _, label, role, _ in feats if role == "label"]
     out = ["image-segmentation"] * ("image" in labels) + ["object-detection"] * any(detection_field(f.name, f.dataType) for f in schema.fields)
     return out or (["image-classification"] if labels else [])
+
+
+def known_types(types: Column) -> Column:
+    """The known set of types as sorted text; null when it says nothing."""
+    clean = F.transform(F.filter(types, lambda t: t.isNotNull()), lambda t: F.lower(F.trim(t)))
+    kept = F.array_sort(F.array_distinct(F.filter(clean, lambda t: (t != "") & (t != "unknown"))))
+    return F.when(F.size(kept) > 0, F.array_join(kept, "|"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarrystone.queries import analytics, general, profiling
+from quarrystone.queries import analytics, general, profiling, records
 
-MODULES = [general, profiling, analytics]
+MODULES = [general, profiling, analytics, records]
 
 
 def all_queries() -> dict:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import names, types
 from quarrystone.operators import admission, compat, delivery, distribution, integrity, metrics, profile, retrieval, sampling, transform
-from quarrystone.operators.drift import known_types, plain_name
 from quarrystone.queries.profiling import _FEATURES, _HIT, _NAME, _SPLIT, _features
 from quarrystone.session import table
 from quarrystone.sources import sinks
@@ -109,7 +108,7 @@ def unknown_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profile_consistency(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "column_facts").select("series", plain_name(F.col("name")).alias("name"), "file_seq", known_types(F.col("observed_types")).alias("types"))
+    f = table(spark, d, "column_facts").select("series", names.plain_name(F.col("name")).alias("name"), "file_seq", types.known_types(F.col("observed_types")).alias("types"))
     f = f.where("name is not null and name <> ''").groupBy("series", "name", "file_seq").agg(F.max("types").alias("types"))
     return metrics.consistency(f, ["series", "name"], "file_seq", "types").withColumn("consistency", F.round("consistency", 6))
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import names, text, types
 from quarrystone.operators import profile, structure
-from quarrystone.operators.drift import plain_name
 from quarrystone.session import table
 from quarrystone.sources import files as listing
 
@@ -62,7 +61,7 @@ def table_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def semantic_roles(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "column_facts").select(plain_name(F.col("name")).alias("name")).where("name is not null and name <> ''").distinct()
+    n = table(spark, d, "column_facts").select(names.plain_name(F.col("name")).alias("name")).where("name is not null and name <> ''").distinct()
     return n.select("name", names.role(F.col("name")).alias("role"))
 
 
@@ -75,7 +74,7 @@ def array_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "column_facts").select("series", "file_seq", "col_pos", plain_name(F.col("name")).alias("name"), "observed_types", "nullable").where("name is not null and name <> ''")
+    f = table(spark, d, "column_facts").select("series", "file_seq", "col_pos", names.plain_name(F.col("name")).alias("name"), "observed_types", "nullable").where("name is not null and name <> ''")
     known = F.filter("observed_types", lambda t: t.isNotNull() & (t != "unknown"))
     return f.withColumn("data_type", types.combined_type(F.coalesce(known, F.array().cast("array<string>")))).withColumn("role", names.role(F.col("name")))
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrystone.functions import types
 from quarrystone.operators.profile import json_members
@@ -39,19 +42,52 @@ def unique_headers(values: list[str]) -> list[str]:
     return out
 
 
+def _shape_of(spark: SparkSession, path: str, sep: str) -> tuple[int, bool]:
+    """The most separators in a line, and whether a quoted value goes over lines."""
+    line = F.col("value")
+    found = lambda c: F.length(line) - F.length(F.replace(line, F.lit(c)))
+    r = spark.read.text(path).agg(F.max(found(sep)).alias("most"), F.bool_or(found('"') % 2 == 1).alias("long")).first()
+    return r.most or 0, bool(r.long)
+
+
+def _surplus(width: int, sep: str):  # noqa: ANN202
+    """What a record has beyond its columns, from its text."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cells(records: pd.Series) -> pd.Series:
+        return records.map(lambda r: next(csv.reader([r], delimiter=sep), [])[width:] or None if isinstance(r, str) else None)
+
+    return cells
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
     """A delimited file as text columns: no inference, header required, short rows end in nulls.
 
-    The delimiter is a tab for .tsv, else detected from the first line unless given. Surplus cells are dropped.
+    The delimiter is a tab for .tsv, else detected from the first line unless given. Where rows
+    have more cells than the header these stand in a further column ``unnamed`` (an array). A file
+    in which no quoted value goes over lines is read by many tasks.
     """
     first = spark.read.text(path).limit(1).collect()
     if not first:
         return spark.createDataFrame([], "value string")
     sep = delimiter or ("\t" if path.lower().endswith(".tsv") else detect_delimiter(first[0].value))
-    df = spark.read.csv(path, sep=sep, header=False, inferSchema=False, mode="PERMISSIVE", multiLine=True, escape='"', nullValue="\u0000", emptyValue="")
-    head = [x or "" for x in df.first()]
-    head[0] = head[0].lstrip("﻿")
-    return spark.read.csv(path, sep=sep, header=True, inferSchema=False, mode="PERMISSIVE", multiLine=True, escape='"', nullValue="\u0000", emptyValue="").toDF(*unique_headers(head))
+    most, long_ = _shape_of(spark, path, sep)
+    how = {"sep": sep, "inferSchema": False, "mode": "PERMISSIVE", "multiLine": long_, "escape": '"', "nullValue": "\u0000", "emptyValue": ""}
+    head = [x or "" for x in spark.read.csv(path, header=False, **how).first()]
+    head[0] = head[0].lstrip("\ufeff")
+    names = unique_headers(head)
+    if most < len(head):
+        return spark.read.csv(path, header=True, **how).toDF(*names)
+    cells = [f"c{i}" for i in range(len(head))]
+    df = spark.read.schema(", ".join(f"{c} string" for c in [*cells, "_record"])).option("columnPruning", "false").csv(path, header=True, columnNameOfCorruptRecord="_record", **how)
+    df = df.withColumn("_more", _surplus(len(head), sep)("_record"))
+    kept = df.select(*[F.col(c).alias(n) for c, n in zip(cells, names)], F.col("_more").alias(unique_headers([*names, "unnamed"])[-1]))
+    return kept.select(*[F.col(f"`{n}`") for n in names]) if not df.agg(F.count("_more"), F.max(F.length("c0"))).first()[0] else kept
+
+
+def limited(df: DataFrame, most: int | None) -> tuple[DataFrame, bool]:
+    """The first rows and whether there are more; all rows for ``None``."""
+    return (df, False) if most is None else (df.limit(most), df.limit(most + 1).count() > most)
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -46,7 +46,12 @@ def latest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str) -> None:
-    """Rows of a catalogue by key: new ones replace old ones."""
+    """Rows of a catalogue by key: new ones replace old ones.
+
+    Of several new rows of one key the one that is last in its other columns counts.
+    """
+    order = [f.name for f in rows.schema.fields if f.name != key and "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rows = latest(rows, key, order) if order else rows.dropDuplicates([key])
     if exists(spark, path):
         kept = spark.read.parquet(path).join(rows.select(key), key, "left_anti")
         rows = kept.unionByName(rows, allowMissingColumns=True)

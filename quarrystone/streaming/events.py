@@ -51,11 +51,15 @@ def sessions(events: DataFrame, when: str, key: str, gap: str, lateness: str | N
     return e.groupBy(key, F.session_window(when, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("session_start"), "n")
 
 
-def into_table(stream: DataFrame, path: str, checkpoint: str, key: str):  # noqa: ANN201
-    """A stream of keyed rows kept as a table of the last row per key; returns the started query."""
-    from quarrystone.sources.sinks import upsert
+def into_table(stream: DataFrame, path: str, checkpoint: str, key: str, order: list[str] | None = None):  # noqa: ANN201
+    """A stream of keyed rows kept as a table of the last row per key; returns the started query.
+
+    Within a batch the last row is the one that is last in ``order`` (by default in all its other
+    columns, so that the result does not depend on the order of arrival).
+    """
+    from quarrystone.sources.sinks import latest, upsert
 
     def write(batch: DataFrame, _: int) -> None:
-        upsert(batch.sparkSession, path, batch.dropDuplicates([key]), key)
+        upsert(batch.sparkSession, path, latest(batch, key, order or [c for c in batch.columns if c != key]), key)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()

@@ -136,3 +136,29 @@ def test_a_stream_kept_as_a_table(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 1), ("b", 2)]
+
+
+def test_surplus_cells_and_values_over_lines(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    p.write_text('a,b\n1,2,3\n4\n"x,y",5,"6, 7",8\n')
+    rows = readers.read_delimited(spark, str(p)).collect()
+    assert [tuple(r) for r in rows] == [("1", "2", ["3"]), ("4", None, None), ("x,y", "5", ["6, 7", "8"])]
+    p.write_text('a,b\n"1\n2",3\n')
+    assert [tuple(r) for r in readers.read_delimited(spark, str(p)).collect()] == [("1\n2", "3")]
+    df, more = readers.limited(spark.range(5), 3)
+    assert (df.count(), more) == (3, True) and readers.limited(spark.range(3), 3)[1] is False and readers.limited(spark.range(3), None)[1] is False
+
+
+def test_blanks_around_numbers(spark):
+    from quarrystone.functions import types
+
+    df = spark.createDataFrame([("\t12\n",), ("\u00a01.5 ",), ("\n",), (" TRUE\r",)], "t string")
+    assert [r[0] for r in df.select(types.scalar_type(F.col("t"))).collect()] == ["integer", "number", "string", "boolean"]
+
+
+def test_jpeg_segments_are_walked():
+    seg = lambda m, body: bytes([0xFF, m]) + (len(body) + 2).to_bytes(2, "big") + body
+    sof = seg(0xC2, bytes([8, 0, 20, 0, 30, 1]))
+    start = b"\xff\xd8"
+    cases = [start + seg(0xE0, b"\xff" * 9) + b"\xff\xff" + sof + b"x" * 9, start + b"\xff\x01" + b"junk" + seg(0xC4, b"t" * 30) + sof + b"x" * 9, start + seg(0xE1, b"z" * 40), start + b"\xff\xe0\x00\x01" + sof + b"x" * 9]
+    assert [media.image_header(b) for b in cases] == [(30, 20, 1, 8), (30, 20, 1, 8), None, None]
