@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.plans.scans import numbered
+
 from quarrystone.plans.scans import running_max
 
 
@@ -72,3 +74,18 @@ def ranking_scores(rankings: DataFrame, query: str, rank: str, relevance: str, i
 def nearest_rank(value: str, share: float) -> Column:
     """Aggregate: nearest-rank percentile; the smallest value that at least the share does not exceed."""
     return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})")
+
+
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``keys`` and, under each given name, the nearest-rank percentile of a share, for groups of any size.
+
+    Values are numbered by a range sort, so no group stands in one task or buffer. Null values
+    are passed over; a group without any is left out.
+    """
+    rows = numbered(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")), keys, ["_v"], "_n")
+    size = rows.groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_all"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    at = rows.join(size, same)
+    return at.groupBy(*keys).agg(*[F.max(F.when(F.col("_n") == F.greatest(F.lit(1), F.ceil(F.col("_all") * share)), F.col("_v"))).alias(name) for name, share in shares.items()])

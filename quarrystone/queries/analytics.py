@@ -126,7 +126,7 @@ def hit_mrr_ndcg(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_rank_percentile(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*[metrics.nearest_rank("l_extendedprice", p).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.95)])
+    return metrics.nearest_ranks(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {f"p{int(p * 100)}": p for p in (0.5, 0.9, 0.95)})
 
 
 def fk_violations(spark: SparkSession, d: str) -> DataFrame:

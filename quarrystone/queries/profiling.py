@@ -107,10 +107,10 @@ def profile_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_families(spark: SparkSession, d: str) -> DataFrame:
-    t = F.lower(F.col("text"))
     patterns = {"merge": r"\bmerge\b", "helper": r"\bhelper\b", "snapshot": r"\bsnapshots?\b", **text.FRAMEWORKS, **text.ARCHITECTURES}
-    g = table(spark, d, "documents").groupBy(F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"))
-    return g.agg(*[F.coalesce(F.bool_or(t.rlike(p)), F.lit(False)).alias(k) for k, p in patterns.items()])
+    low = table(spark, d, "documents").select(F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"), F.lower("text").alias("t"))
+    found = low.select("source", *[text.occurs(F.col("t"), p).alias(k) for k, p in patterns.items()])
+    return found.groupBy("source").agg(*[F.coalesce(F.bool_or(k), F.lit(False)).alias(k) for k in patterns])
 
 
 def license_markers(spark: SparkSession, d: str) -> DataFrame:

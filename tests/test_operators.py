@@ -111,6 +111,33 @@ def test_consistency_ranking_percentile(spark):
     assert nums.agg(metrics.nearest_rank("x", 0.95)).first()[0] == 40
 
 
+def test_nearest_ranks_of_groups(spark):
+    rows = [("a", float(i)) for i in (4, 1, 3, 2)] + [("b", None), (None, 7.0), ("c", 5.0), ("c", 5.0), ("c", 9.0)]
+    got = {r.k: (r.low, r.high) for r in metrics.nearest_ranks(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", {"low": 0.5, "high": 0.95}).collect()}
+    assert got == {"a": (2.0, 4.0), None: (7.0, 7.0), "c": (5.0, 9.0)}
+
+
+def test_admission_in_many_rounds(spark, monkeypatch):
+    monkeypatch.setattr(admission, "AT_ONCE", 3)
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), 5 * i, rng.randrange(0, 40)) for i in range(120)]
+    used, want = {}, set()
+    for k, o, s in rows:
+        if used.get(k, 0) + s <= 150:
+            used[k] = used.get(k, 0) + s
+            want.add((k, o, s, used[k]))
+    assert {tuple(r) for r in admission.greedy_admission(spark.createDataFrame(rows, "k string, o int, s int"), "k", "o", "s", 150).collect()} == want
+
+
+def test_a_literal_is_looked_for_before_its_pattern(spark):
+    from quarrystone.functions import text
+
+    df = spark.createDataFrame([("uses pytorch here",), ("mypytorchx",), ("torch.nn",), ("",), (None,)], "t string")
+    for p in (r"\bpytorch\b|\btorch\.nn\b", r"torch", r"\bto?rch\b", r"(py)?torch"):
+        got = [tuple(r) for r in df.select(text.occurs(F.col("t"), p), F.col("t").rlike(p)).collect()]
+        assert all(a == b for a, b in got), p
+
+
 def test_integrity(spark):
     e = spark.createDataFrame([("a", 1, "x"), ("a", 2, "end"), ("a", 5, "x"), ("b", 2, "x"), ("b", 2, "x"), (None, 9, "x")], "j string, n int, t string")
     assert sorted((r.j, r.before, r.next, r.missing) for r in integrity.gaps(e, "j", "n", block=2).collect()) == [("a", 2, 5, 2), ("b", 0, 2, 1)]
