@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Step = Callable[[Column], Column]
 
@@ -159,3 +160,81 @@ def flat_profiles(bodies: DataFrame, key: str = "profile_id", body: str = "body"
 def leaves(bodies: DataFrame) -> DataFrame:
     """Skipped paths, coverage losses and video paths only."""
     return flat_profiles(bodies).where(F.col("child_kind").isin("skipped_path", "coverage_loss", "video_path"))
+
+
+def _levels(kind: T.DataType, path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
+    """Paths of all arrays below a type; the element of an array of arrays is called ``element``."""
+    if isinstance(kind, T.StructType):
+        return [p for f in kind.fields for p in _levels(f.dataType, (*path, f.name))]
+    if isinstance(kind, T.ArrayType):
+        return [path, *_levels(kind.elementType, (*path, "element"))]
+    return []
+
+
+def _values(kind: T.DataType, path: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], T.DataType]]:
+    """Members that are no arrays, those of inner structs by their path; a plain value has the empty path."""
+    if isinstance(kind, T.StructType):
+        return [v for f in kind.fields for v in _values(f.dataType, (*path, f.name))]
+    return [] if isinstance(kind, T.ArrayType) else [(path, kind)]
+
+
+def _member_of(array: pa.Array, path: tuple[str, ...]) -> pa.Array:
+    for name in path:
+        array = pc.struct_field(array, name)
+    return array
+
+
+def _level_rows(batches: Iterator[pa.RecordBatch], steps: list[tuple[str, ...]], members: list[tuple[str, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of one level: the key, the positions in the lists above, the position, the members."""
+    for batch in batches:
+        keys, current = batch.column(0), batch.column(1)
+        above: list[np.ndarray] = []
+        for step in steps:
+            parent, pos, current = children(_member_of(current, step))
+            keys = keys.take(pa.array(parent))
+            above = [a[parent] for a in above] + [pos]
+        n, width = len(keys), max(len(steps) - 1, 0)
+        flat = np.stack(above[:-1], 1).ravel() if width and n else np.zeros(0, np.int64)
+        link = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(flat, pa.int64())), pa.array(above[-1], pa.int64())] if steps else []
+        yield pa.RecordBatch.from_arrays([keys, *link, *[_member_of(current, m) for m in members]], names=names)
+
+
+def child_tables(df: DataFrame, key: str, column: str) -> dict[str, DataFrame]:
+    """A nested column of any type as flat tables, one for the records themselves (``""``) and one for each array below.
+
+    A table of an array, named by its path, has the key, ``_parent`` (the positions of the list
+    elements that enclose the row, outermost first), ``_pos`` (its own position from 0) and the
+    members of its elements, inner structs by dotted names; a plain element is ``value``. The parent of a row is the row
+    with the same key whose ``_parent`` and ``_pos`` are this ``_parent``. Null lists have no rows,
+    null elements have rows of nulls; maps stay values. Names that would clash get underscores.
+    Every table reads only the members it needs.
+    """
+    kind = df.schema[column].dataType
+    out = {}
+    for path in [None, *_levels(kind)]:
+        steps: list[tuple[str, ...]] = []
+        at, here = kind, ()
+        for name in path or ():
+            here, at = (*here, name), at[name].dataType if isinstance(at, T.StructType) else at.elementType
+            if isinstance(at, T.ArrayType):
+                steps.append(here if not steps or here[0] != "element" else here[1:])
+                here = ()
+        if path == ():
+            steps = [()]
+        element = kind if path is None else at.elementType
+        if path is None and isinstance(kind, T.ArrayType):
+            continue
+        members = _values(element)
+        names = [key] + (["_parent", "_pos"] if path is not None else [])
+        fields = [T.StructField(key, df.schema[key].dataType)] + ([T.StructField("_parent", T.ArrayType(T.LongType())), T.StructField("_pos", T.LongType())] if path is not None else [])
+        for m, k in members:
+            name = ".".join(m) or "value"
+            while name in names:
+                name += "_"
+            names.append(name)
+            fields.append(T.StructField(name, k))
+        rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{column}`").alias("value"))
+        if path is None:
+            rows = rows.where("value is not null")
+        out["" if path is None else ".".join(path) or "value"] = rows.mapInArrow(lambda b, s=steps, m=[p for p, _ in members], n=names: _level_rows(b, s, m, n), T.StructType(fields))
+    return out

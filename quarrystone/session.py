@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,9 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is
     unset and Spark runs on one machine (tests) a local one is made. On a cluster without that
-    setting this raises: a machine-local folder would not survive the machine.
+    setting this raises: a machine-local folder would not survive the machine. The local folder
+    is removed at the end; on a cluster ``spark.cleaner.referenceTracking.cleanCheckpoints`` lets
+    Spark delete the files of tables that are used no more.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -28,5 +32,6 @@ def cut(df: DataFrame) -> DataFrame:
             if not re.fullmatch(r"local(\[.*\])?", sc.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="ckpt-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -49,3 +49,26 @@ def test_parents_are_linked(spark):
     body = json.dumps({"snapshots": [{"revision": "r1", "sampling": [{"samplingSummary": {"id": "s1"}}, {"samplingSummary": {}}]}]})
     got = {(r.child_kind, r.snapshot_pos, r.sampling_pos, r.child_value) for r in nested.flat_profiles(spark.createDataFrame([(1, body)], "profile_id bigint, body string")).collect()}
     assert got == {("snapshot", 0, -1, "r1"), ("sampling_run", 0, 0, "s1"), ("sampling_run", 0, 1, None)}
+
+
+def test_any_nested_column_becomes_linked_tables(spark):
+    kind = "struct<id:int,who:struct<name:string>,xs:array<struct<a:int,_pos:string,ys:array<int>,deep:struct<zs:array<struct<z:string>>>>>,grid:array<array<int>>>"
+    rows = [
+        (1, (7, ("n",), [(1, "p", [5, None], ([("u",), None],)), None, (3, None, None, None)], [[1], None, [2, 3]])),
+        (2, None), (3, (8, None, [], None)),
+    ]
+    tables = nested.child_tables(spark.createDataFrame(rows, f"k bigint, v {kind}"), "k", "v")
+    got = {name: sorted(map(tuple, t.collect()), key=repr) for name, t in tables.items()}
+    assert set(got) == {"", "xs", "xs.element.ys", "xs.element.deep.zs", "grid", "grid.element"}
+    assert got[""] == [(1, 7, "n"), (3, 8, None)]
+    assert got["xs"] == [(1, [], 0, 1, "p"), (1, [], 1, None, None), (1, [], 2, 3, None)] and tables["xs"].columns == ["k", "_parent", "_pos", "a", "_pos_"]
+    assert got["xs.element.ys"] == [(1, [0], 0, 5), (1, [0], 1, None)]
+    assert got["xs.element.deep.zs"] == [(1, [0], 0, "u"), (1, [0], 1, None)]
+    assert got["grid.element"] == [(1, [0], 0, 1), (1, [2], 0, 2), (1, [2], 1, 3)] and len(got["grid"]) == 3
+
+
+def test_plain_arrays_and_empty_tables(spark):
+    t = nested.child_tables(spark.createDataFrame([(1, [4, 5]), (2, None)], "k int, v array<int>"), "k", "v")
+    assert {n: sorted(map(tuple, d.collect())) for n, d in t.items()} == {"value": [(1, [], 0, 4), (1, [], 1, 5)]}
+    t = nested.child_tables(spark.createDataFrame([], "k int, v struct<a:array<struct<b:int>>>"), "k", "v")
+    assert {n: d.count() for n, d in t.items()} == {"": 0, "a": 0}
